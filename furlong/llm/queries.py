@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from furlong.llm import bpe
+from furlong.llm import bpe, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op9_quality": quality.op9_quality,
 }
 SQL: dict[str, str] = {}
