@@ -35,8 +35,9 @@ COST = 2
 BAD_SHARE = 0.05
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Shares that make out the anomalies; lengths and repeats are the base rules' part.
-STATS = ("symbols", "capitals", "shouts", "bars")
+#: Rule statistics that make out the anomalies, with the share that ordinary prose stays under: what
+#: goes beyond it counts. Lengths and repeats are the base rules' part.
+STATS = {"symbols": 0.01, "capitals": 0.10, "shouts": 0.01, "bars": 0.03}
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _SPACE = [9, 10, 11, 12, 13, 32]
 _U = np.uint64
@@ -69,7 +70,8 @@ def statistics(text: str | None, words: WordHash) -> tuple[tuple[int, ...], list
     repeat = repeated_words(words.of(found))
     letters = int(count[65:91].sum() + count[97:123].sum())
     # a few characters or words of nothing in particular keep short texts near the middle
-    stats = [symbols / (chars + 30), count[65:91].sum() / (letters + 30), count[33] / (chars + 30), count[124] / (n + 10)]
+    shares = (symbols / (chars + 30), count[65:91].sum() / (letters + 30), count[33] / (chars + 30), count[124] / (n + 10))
+    stats = [max(0.0, x - most) for x, most in zip(shares, STATS.values(), strict=True)]
     return (n, chars, symbols, dup, repeat), [float(x) for x in stats]
 
 
