@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from furlong.llm import bpe, quality
+from furlong.llm import bpe, decontaminate, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op9_quality": quality.op9_quality,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": decontaminate.OP4_SQL,
+}
