@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from furlong.llm import bpe, decontaminate, lines, quality, shard
+from furlong.llm import bpe, chat, decontaminate, lines, quality, shard
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_shards": shard.op6_shards,
+    "op7_chat": chat.op7_chat,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
 }
 SQL: dict[str, str] = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op6_shards": shard.OP6_SQL,
+    "op7_chat": chat.OP7_SQL,
     "op10_lines": lines.OP10_SQL,
 }
