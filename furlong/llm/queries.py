@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from furlong.llm import bpe, chat, decontaminate, lines, quality, shard
+from furlong.llm import bpe, chat, decontaminate, html, lines, quality, shard
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_main_text": html.op2_main_text,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_shards": shard.op6_shards,
     "op7_chat": chat.op7_chat,
