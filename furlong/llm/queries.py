@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furlong.llm import bpe, chat, decontaminate, html, lines, quality, shard
+from furlong.llm import bpe, chat, decontaminate, html, lines, quality, shard, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_shards": shard.op6_shards,
     "op7_chat": chat.op7_chat,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
 }
