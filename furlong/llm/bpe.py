@@ -175,8 +175,11 @@ def _codec(shared) -> Codec:
     return _built[name]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each whole text (array<int>; empty for null) in ``ids_col``."""
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", checked: bool = False) -> DataFrame:
+    """``docs`` with the ids of each whole text (array<int>; empty for null) in ``ids_col``.
+
+    ``checked`` decodes the ids again and fails the job if a text does not come back.
+    """
     shared = _shared(docs.sparkSession, path, pattern)
     docs = docs.select(*[c for c in docs.columns if c != ids_col])
     where = docs.columns.index(text_col)
@@ -186,7 +189,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [codec.encode(t or "") for t in part.column(where).to_pylist()]
+                texts = [t or "" for t in part.column(where).to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                if checked and any(codec.decode(i) != t.encode() for i, t in zip(ids, texts, strict=True)):
+                    raise ValueError("a text does not come back from its ids")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, ids_col])
 
     schema = docs.withColumn(ids_col, F.lit(None).cast("array<int>")).schema
