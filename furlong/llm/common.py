@@ -88,7 +88,7 @@ def _clean() -> None:
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, kept for words seen lately; never above ``most`` entries."""
 
-    most = 150_000
+    most = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.common import WordHash, chunks, id_key, id_of, mix, table, written
@@ -125,37 +125,57 @@ def _window_hashes(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(go, kind)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_k, _h, spans): the [a, b) word spans (not merged) that repeat what comes earlier."""
-    texts = docs.select(id_key(id_col).alias("_k"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the keys _k and _h, and the keys that tell documents apart: _h (of the text) only where ids repeat."""
+    twice = not docs.groupBy(id_key(id_col).alias("_k")).count().where("count > 1").isEmpty()
+    return docs.withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col) if twice else F.lit(0).cast("long")}), ["_k", "_h"] if twice else ["_k"]
+
+
+def _span(start: Column, n: Column) -> Column:
+    """The words [start, start + n) in one number."""
+    return F.shiftleft(start.cast("long"), 32) + n.cast("long")
+
+
+def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from documents with their keys."""
     # one exchange by k-mer serves all windows below: the finer ones need no other
     whole, equal = Window.partitionBy("kmer"), Window.partitionBy("kmer", "run")
-    met = _runs(texts).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("c > 1")
-    met = met.withColumn("first", F.min(F.struct("_k", "start", "_h")).over(equal))
-    found = written(met.select("_k", "_h", "kmer", "start", "n", "run", F.col("first")["_k"].alias("fk"), F.col("first")["start"].alias("fs"), F.col("first")["_h"].alias("fh"), (F.col("low") != F.col("high")).alias("branches")))
-    later = (F.col("_k") != F.col("fk")) | (F.col("start") != F.col("fs"))
-    plain = found.where(~F.col("branches") & later).select("_k", "_h", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + F.lit(WINDOW - 1)).alias("b")).alias("s"))
+    met = _runs(keyed.select("_k", "_h", text_col)).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("c > 1")
+    met = met.withColumn("first", F.min(F.struct("_k", "start", "_h")).over(equal)).withColumn("branches", F.col("low") != F.col("high"))
+    later = (F.col("_k") != F.col("first")["_k"]) | (F.col("start") != F.col("first")["start"])
+    # what does not branch is done with its k-mer
+    only = lambda c: F.when(F.col("branches"), c)
+    found = written(
+        met.where(F.col("branches") | later).select(
+            "_k", "_h", "start", "n", "branches", only(F.col("kmer")).alias("kmer"), only(F.col("run")).alias("run"),
+            *(only(F.col("first")[c]).alias(x) for c, x in (("_k", "fk"), ("start", "fs"), ("_h", "fh"))),
+        )
+    )
+    plain = found.where(~F.col("branches")).select(*keys, _span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
     # branching runs: one run of each kind is read at its source, and each of its windows finds its first start
     kinds = found.where("branches").groupBy("kmer", "run").agg(F.first("fk").alias("fk"), F.first("fs").alias("fs"), F.first("fh").alias("fh"), F.first("n").alias("n"))
-    sources = kinds.groupBy(F.col("fk").alias("_k"), F.col("fh").alias("_h")).agg(F.collect_list(F.struct("kmer", "run", "fk", "fs", "n")).alias("runs"))
-    read = _window_hashes(texts.join(sources, ["_k", "_h"]).select("_t", "runs")).distinct()
+    sources = kinds.groupBy(*[F.col("f" + k[1]).alias(k) for k in keys]).agg(F.collect_list(F.struct("kmer", "run", "fk", "fs", "n")).alias("runs"))
+    read = _window_hashes(keyed.select(text_col, *keys).join(sources, keys).select(text_col, "runs")).repartition("kmer")
     each = read.select("kmer", "run", "fk", "fs", F.posexplode("hashes").alias("i", "w"))
-    starts = each.groupBy("kmer", "w").agg(F.min(F.struct("fk", (F.col("fs") + F.col("i")).alias("s"))).alias("first"))
-    kept = each.join(starts, ["kmer", "w"]).groupBy("kmer", "run").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("firsts"))
+    each = each.withColumn("first", F.min(F.struct("fk", (F.col("fs") + F.col("i")).alias("s"))).over(Window.partitionBy("kmer", "w")))
+    firsts = each.groupBy("kmer", "run").agg(F.collect_set(F.struct("i", "first")).alias("firsts"))
     own = F.struct(F.col("_k"), (F.col("start") + F.col("f")["i"]).alias("s"))
     branching = (
-        found.where("branches").join(kept, ["kmer", "run"]).select("_k", "_h", "start", F.explode("firsts").alias("f")).where(own > F.col("f")["first"])
-        .select("_k", "_h", F.struct((F.col("start") + F.col("f")["i"]).alias("a"), (F.col("start") + F.col("f")["i"] + F.lit(WINDOW)).alias("b")).alias("s"))
+        found.where("branches").join(firsts, ["kmer", "run"]).select("_k", *keys[1:], "start", F.explode("firsts").alias("f")).where(own > F.col("f")["first"])
+        .select(*keys, _span(F.col("start") + F.col("f")["i"], F.lit(WINDOW)).alias("s"))
     )
-    return plain.unionByName(branching).groupBy("_k", "_h").agg(F.collect_set("s").alias("spans"))
+    return plain.unionByName(branching).groupBy(*keys).agg(F.collect_set("s").alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_words", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """``docs`` with the words that stay, joined by one space, in ``out_col``, and the ``counts``."""
     names = [out_col, *counts]
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    spans = repeated_spans(docs, id_col, text_col)
-    both = docs.withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col)}).join(spans, ["_k", "_h"], "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    keyed, keys = _keyed(docs, id_col, text_col)
+    spans = repeated_spans(keyed, keys, text_col)
+    # an id of this type comes back from its key, so the exchange of ids and texts is the one that the sources used
+    same = {id_col: id_of("_k")} if docs.schema[id_col].dataType.typeName() == "long" else {}
+    both = keyed.join(spans, keys, "left").withColumns(same).select(*docs.columns, F.col("spans").alias("_spans"))
     where, out_names = docs.columns.index(text_col), [*docs.columns, *names]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +184,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 batch = whole.slice(at, 1000)
                 rows = []
                 for text, own in zip(batch.column(where), batch.column(batch.num_columns - 1), strict=True):
-                    rows.append(cut((text.as_py() or "").encode().split(), [(s["a"], s["b"]) for s in own.as_py() or []]))
+                    rows.append(cut((text.as_py() or "").encode().split(), [(s >> 32, (s >> 32) + (s & 0xFFFFFFFF)) for s in own.as_py() or []]))
                 kept, n, gone = zip(*rows, strict=True) if rows else ((),) * 3
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=out_names)
 
