@@ -5,15 +5,15 @@ also starts earlier (smaller id, or same document and earlier start); windows ar
 
 Method. Edges of the graph are token k-mers (``KMER`` words), of which each window carries one: its minimizer, the k-mer of the
 smallest hash. A maximal run of windows with one minimizer is a nonbranching path of the document, compacted where it is made: one
-row instead of a row a window, keyed by (k-mer, where the run lies around it, hash of all its words). Joins on the k-mer then compact
-over documents. A k-mer met once has no repeated window and goes at once. A k-mer whose runs are all equal does not branch: every window of
-the run repeats as a whole, and the first run by (id, start) stays. A k-mer with different runs branches: the windows of one run of each
-kind, fetched by its source coordinates and hashed from the text, are verified window by window, and each finds its first
-start among them.
+row instead of a row a window, keyed by (k-mer, hash of where the run lies around it and of all its words). Joins on the k-mer then compact
+over documents. A k-mer met once has no repeated window and goes at once. Of equal runs the first by (id, start) stays, and the
+windows of the others repeat as a whole. If a k-mer has different runs, the path branches there: the first run of each kind is read
+at its source coordinates, and its windows are verified one by one against those of the other kinds.
 
 Equal windows have the same minimizer, so nothing is lost; hashes that are compared have 128 bits together (k-mer and run, k-mer and
-window). Shuffled: one row for about 7 words, and the texts twice (for branching runs, and to meet the spans to remove). A passage that
-a third of all documents share is a few hot k-mers of N / 3 rows, a small share of the rows, which windows sort outside memory.
+window). Shuffled: one row for about 7 words, and the texts once, for both uses. Equal runs of one chunk of texts are combined before the
+shuffle, so a passage that a third of all documents share sends one row a chunk to its k-mers; its other occurrences are done
+and go anywhere. So do equal windows of branching runs, which are dealt by their own hash.
 
 Defined results: null text has no words; fewer than ``WINDOW`` words have no window; null ids sort first; rows that share id and text share
 one result; texts that share an id only are ordered by start alone.
@@ -77,8 +77,20 @@ def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return kmer[pos], text[start], start - begin[text[start]], count, run
 
 
+def _combined(kmer: np.ndarray, finer: np.ndarray, k: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, done, kmer): of rows of one (kmer, finer) only those of the first (id, start) go on; the others are done, and
+    get a random key so that they are dealt evenly."""
+    order = np.lexsort((start, k, finer, kmer))
+    kmer, finer, k, start = kmer[order], finer[order], k[order], start[order]
+    new = np.ones(len(kmer), bool)
+    new[1:] = (kmer[1:] != kmer[:-1]) | (finer[1:] != finer[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(kmer) else np.zeros(0, np.int64)
+    done = (k != k[lead]) | (start != start[lead])
+    return order, done, np.where(done, mix(k.view(np.uint64) + start.astype(np.uint64) * _BASE).view(np.int64), kmer)
+
+
 def _runs(docs: DataFrame) -> DataFrame:
-    """(_k, _h, kmer, start, n, run) of each text, from (_k, _h, _t)."""
+    """(_k, _h, kmer, start, n, run, done) of each text, from (_k, _h, text); done: an equal run of the same chunk comes first."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -90,39 +102,47 @@ def _runs(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate([words.of(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
                 kmer, text, start, n, run = runs(flat, lengths)
                 text = text + first
+                order, done, kmer = _combined(kmer.view(np.int64), run, k[text], start)
+                text, start, n, run = (x[order] for x in (text, start, n, run))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[text]), pa.array(h[text]), pa.array(kmer.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(run.view(np.int64))],
-                    names=["_k", "_h", "kmer", "start", "n", "run"],
+                    [pa.array(k[text]), pa.array(h[text]), pa.array(kmer), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.where(done, _U(0), run).view(np.int64)), pa.array(done)],
+                    names=["_k", "_h", "kmer", "start", "n", "run", "done"],
                 )
 
-    return docs.mapInArrow(go, "_k long, _h long, kmer long, start int, n int, run long")
+    return docs.mapInArrow(go, "_k long, _h long, kmer long, start int, n int, run long, done boolean")
 
 
-def _window_hashes(spans: DataFrame) -> DataFrame:
-    """(kmer, run, fk, fs, hashes) of each run, from (_t, runs: array of (kmer, run, fk, fs, n))."""
-    kind = "kmer long, run long, fk long, fs int, hashes array<long>"
+def _windows(spans: DataFrame) -> DataFrame:
+    """(kmer, w, _k, _h, start, done) of each window of the runs, from (text, _k, _h, runs: array of (kmer, start, n))."""
+    names = ["kmer", "w", "_k", "_h", "start", "done"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            kmer, w, k, h, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order, done, kmer = _combined(kmer, w, k, start)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (kmer, w[order], k[order], h[order], start[order].astype(np.int32), done)], names=names)
+
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode().split()
-                hashed = Hashed(words.of(raw))
-                for r in own.as_py():
-                    at = np.arange(r["fs"], r["fs"] + r["n"])
-                    out.append((r["kmer"], r["run"], r["fk"], r["fs"], hashed.of(at, at + WINDOW).view(np.int64).tolist()))
-                if len(out) > 20_000:
-                    yield _rows(out)
-                    out = []
-            yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*out, strict=True) if out else ((),) * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kmer", "run", "fk", "fs", "hashes"])
-
-    return spans.mapInArrow(go, kind)
+            for text, k, h, own in zip(*batch.columns, strict=True):
+                hashed = Hashed(words.of((text.as_py() or "").encode().split()))
+                rows = own.as_py()
+                n = np.array([r["n"] for r in rows])
+                at = np.repeat(np.array([r["start"] for r in rows]) - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                kmer = np.repeat(np.array([r["kmer"] for r in rows], np.int64), n)
+                held.append((kmer, hashed.of(at, at + WINDOW).view(np.int64), np.full(len(at), k.as_py(), np.int64), np.full(len(at), h.as_py(), np.int64), at))
+                size += len(at)
+                if size > 200_000:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return spans.mapInArrow(go, "kmer long, w long, _k long, _h long, start int, done boolean")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -139,31 +159,18 @@ def _span(start: Column, n: Column) -> Column:
 def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from documents with their keys."""
     # one exchange by k-mer serves all windows below: the finer ones need no other
-    whole, equal = Window.partitionBy("kmer"), Window.partitionBy("kmer", "run")
-    met = _runs(keyed.select("_k", "_h", text_col)).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("c > 1")
-    met = met.withColumn("first", F.min(F.struct("_k", "start", "_h")).over(equal)).withColumn("branches", F.col("low") != F.col("high"))
-    later = (F.col("_k") != F.col("first")["_k"]) | (F.col("start") != F.col("first")["start"])
-    # what does not branch is done with its k-mer
-    only = lambda c: F.when(F.col("branches"), c)
-    found = written(
-        met.where(F.col("branches") | later).select(
-            "_k", "_h", "start", "n", "branches", only(F.col("kmer")).alias("kmer"), only(F.col("run")).alias("run"),
-            *(only(F.col("first")[c]).alias(x) for c, x in (("_k", "fk"), ("start", "fs"), ("_h", "fh"))),
-        )
-    )
-    plain = found.where(~F.col("branches")).select(*keys, _span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
-    # branching runs: one run of each kind is read at its source, and each of its windows finds its first start
-    kinds = found.where("branches").groupBy("kmer", "run").agg(F.first("fk").alias("fk"), F.first("fs").alias("fs"), F.first("fh").alias("fh"), F.first("n").alias("n"))
-    sources = kinds.groupBy(*[F.col("f" + k[1]).alias(k) for k in keys]).agg(F.collect_list(F.struct("kmer", "run", "fk", "fs", "n")).alias("runs"))
-    read = _window_hashes(keyed.select(text_col, *keys).join(sources, keys).select(text_col, "runs")).repartition("kmer")
-    each = read.select("kmer", "run", "fk", "fs", F.posexplode("hashes").alias("i", "w"))
-    each = each.withColumn("first", F.min(F.struct("fk", (F.col("fs") + F.col("i")).alias("s"))).over(Window.partitionBy("kmer", "w")))
-    firsts = each.groupBy("kmer", "run").agg(F.collect_set(F.struct("i", "first")).alias("firsts"))
-    own = F.struct(F.col("_k"), (F.col("start") + F.col("f")["i"]).alias("s"))
-    branching = (
-        found.where("branches").join(firsts, ["kmer", "run"]).select("_k", *keys[1:], "start", F.explode("firsts").alias("f")).where(own > F.col("f")["first"])
-        .select(*keys, _span(F.col("start") + F.col("f")["i"], F.lit(WINDOW)).alias("s"))
-    )
+    whole, equal = Window.partitionBy("kmer", "done"), Window.partitionBy("kmer", "done", "run")
+    met = _runs(keyed.select("_k", "_h", text_col)).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("done or c > 1")
+    met = met.withColumn("first", F.min(F.struct("_k", "start")).over(equal))
+    later, branches = F.col("done") | (F.struct("_k", "start") > F.col("first")), ~F.col("done") & (F.col("low") != F.col("high"))
+    found = written(met.where(later | branches).select(*keys, "start", "n", later.alias("later"), F.when(~later, F.col("kmer")).alias("kmer")))
+    plain = found.where("later").select(*keys, _span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
+    # the first run of each kind at a k-mer that branches is read at its source, and each of its windows looks for an earlier start
+    sources = found.where("not later").groupBy(*keys).agg(F.collect_set(F.struct("kmer", "start", "n")).alias("runs"))
+    read = keyed.select(text_col, *keys).join(sources, keys).select(text_col, "_k", (F.col("_h") if "_h" in keys else F.lit(0).cast("long")).alias("_h"), "runs")
+    first = F.min(F.struct("_k", "start")).over(Window.partitionBy("kmer", "w", "done"))
+    each = _windows(read).repartition("kmer", "w").withColumn("first", first)
+    branching = each.where(F.col("done") | (F.struct("_k", "start") > F.col("first"))).select(*keys, _span(F.col("start"), F.lit(WINDOW)).alias("s"))
     return plain.unionByName(branching).groupBy(*keys).agg(F.collect_set("s").alias("spans"))
 
 
