@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.common import drop_written, written
@@ -18,12 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(now)
     while True:
         # large-star: every larger neighbour is linked to the smallest of the neighbourhood
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small-star: every node is linked, with its smaller neighbours, to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        back = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(back).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = back.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small-star: every node is linked, with its smaller neighbours, to the smallest of them; those are few after the large-star
+        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        small = low.select(F.explode(F.when(F.col("b") == F.col("m"), F.array(pair("a"))).otherwise(F.array(pair("a"), pair("b")))).alias("e")).select("e.*").distinct()
         after = written(small)
         state = _state(after)
         drop_written(now)

@@ -10,8 +10,9 @@ branch of more than ``NODE`` documents branches again, on two coordinates that i
 ``SKETCH`` minwise bytes. A pair of similarity s shares a root branch with probability s, and one of two children with
 1 - (1 - s) ** 2, so at 0.8 ten trees miss 2e-7 of the pairs at the root and about 4e-6 at four more levels. Small branches
 are compared exhaustively by sketch (what differs in over 29 of 64 bytes, or by a quarter in size, is no candidate:
-0.8 falls below that with probability 4e-6). A branch that hardly shrinks holds near copies: it is dealt in blocks, and
-every pair of blocks is compared, so no bound on a branch drops a pair.
+0.8 falls below that with probability 4e-6). A branch that hardly shrinks holds near copies: it is dealt in random blocks,
+compared inside. That links nearly all of it, and then what is not yet in its largest component (the rest) is compared with
+the whole branch, block by block, so no bound on a branch drops a pair, and only what does not link costs more than its size.
 
 Candidates form groups. A group of at most ``GROUP`` sets meets once, with its whole texts; a larger one meets in the parts
 that the branches found. There links are confirmed on full sets, and only edges that connect more than
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.llm.common import NULL_ID, WordHash, id_key, id_of, mix, table, written
@@ -111,10 +112,14 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(id_key(id_col).alias("_k"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_x")).mapInArrow(run, "_k long, _x long, n long, sig binary, roots array<long>, sketch binary")
 
 
-def _small_nodes(sets: DataFrame) -> DataFrame:
-    """(node, sig): the branches in which documents are compared with all others."""
+def _node(kind: str, *cols) -> Column:
+    return F.xxhash64("node", F.lit(kind), *cols).alias("node")
+
+
+def _branches(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, sig) of the branches that are compared exhaustively, and of those of near copies that are too large for it."""
     nodes = sets.select("sig", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "sig", F.lit(None).cast("long").alias("parent"))
-    out = None
+    out, stuck = None, None
     for depth in range(DEPTH + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("c"), F.max("parent").alias("p")).where("c > 1")
         met = written(nodes.select("node", "sig").join(sizes, "node"))
@@ -122,18 +127,37 @@ def _small_nodes(sets: DataFrame) -> DataFrame:
         out = small if out is None else out.unionByName(small)
         large = met.where(F.col("c") > NODE)
         if large.isEmpty():
-            return out
+            break
         # what keeps half of its parent holds near copies: further branches would only repeat it
-        stuck = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("c") >= F.col("p"), F.lit(False))
-        n = F.ceil(F.col("c") / F.lit(NODE // 2)).cast("int")
-        block = F.pmod(F.xxhash64("sig", F.lit("block")), n).cast("int")
-        dealt = large.where(stuck).select("node", "sig", block.alias("b"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
-        out = out.unionByName(dealt.select(F.xxhash64("node", F.lit("blocks"), F.least("b", "o"), F.greatest("b", "o")).alias("node"), "sig"))
+        copies = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("c") >= F.col("p"), F.lit(False))
+        own = large.where(copies).select("node", "sig", "c")
+        stuck = own if stuck is None else stuck.unionByName(own)
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(SKETCH)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int")
-        split = large.where(~stuck).join(sets.select("sig", "sketch"), "sig").select("sig", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
+        split = large.where(~copies).join(sets.select("sig", "sketch"), "sig").select("sig", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
         nodes = split.select(F.xxhash64("node", "j", F.expr("substring(sketch, j + 1, 1)")).alias("node"), "sig", F.col("c").alias("parent"))
-    return out
+    return out, None if stuck is None or stuck.isEmpty() else stuck
+
+
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("sig", "node"), n).cast("int")
+
+
+def _dealt(count: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(NODE // 2))).cast("int")
+
+
+def _rest(stuck: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, sig, root): blocks in which what is outside of the largest component of a branch meets the whole branch."""
+    rows = written(stuck.join(linked.select(F.col("node").alias("sig"), "root"), "sig", "left").select("node", "sig", F.coalesce("root", "sig").alias("root")))
+    sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    per = sizes.select("node", F.col("top")["root"].alias("main"), _dealt(F.col("top")["n"]).alias("mains"), (F.col("all") - F.col("top")["n"]).alias("r")).where("r > 0").withColumn("rests", _dealt(F.col("r")))
+    both = rows.join(per, "node").select("node", "sig", "root", (F.col("root") == F.col("main")).alias("is_main"), "mains", "rests")
+    main = both.where("is_main").select("node", "sig", "root", _block(F.col("mains")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("o"))
+    rest = both.where(~F.col("is_main")).withColumn("b", _block(F.col("rests")))
+    across = rest.select("node", "sig", "root", "b", F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("o"))
+    among = rest.select("node", "sig", "root", "b", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("o"))
+    return main.select(_node("across", "b", "o"), "sig", "root").unionByName(across.select(_node("across", "o", "b"), "sig", "root")).unionByName(among.select(_node("among", F.least("b", "o"), F.greatest("b", "o")), "sig", "root"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -160,8 +184,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def alike(node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one node (rows are sorted by node) that may be similar enough."""
+def alike(node: np.ndarray, n: np.ndarray, sketch: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one node (rows are sorted by node) that may be similar enough, and do not share a root."""
     left, right = [], []
     for d in range(1, len(node)):
         at = np.flatnonzero(node[:-d] == node[d:])
@@ -169,6 +193,8 @@ def alike(node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarr
             break
         a, b = n[at], n[at + d]
         at = at[100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)]
+        if root is not None:
+            at = at[root[at] != root[at + d]]
         for lo in range(0, len(at), 50_000):
             i = at[lo : lo + 50_000]
             i = i[(sketch[i] == sketch[i + d]).sum(1) >= AGREE]
@@ -178,13 +204,13 @@ def alike(node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarr
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(part, root, sig) of the groups of candidates in each branch, from (node, sig, n, sketch)."""
+    """(part, root, sig) of the groups of candidates in each branch, from (node, sig, n, sketch[, a hash of the root])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             node, n = t.column(0).to_numpy(), t.column(2).to_numpy()
             sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            i, j = alike(node, n, sketch)
+            i, j = alike(node, n, sketch, t.column(4).to_numpy() if t.num_columns > 4 else None)
             if not len(i):
                 continue
             sig = t.column(1).to_pylist()
@@ -264,7 +290,7 @@ def _confirmed(groups: DataFrame, k: int) -> DataFrame:
         edges += link(members) if len(members) > 1 else []
         yield flush()
 
-    return groups.repartition("g").sortWithinPartitions("g", "sig").mapInArrow(run, "a binary, b binary")
+    return groups.select("g", "sig", "sketch", "_t").repartition("g").sortWithinPartitions("g", "sig").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -272,16 +298,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(_sketches(docs, id_col, text_col, k))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal sketches
     sets = written(rows.where("n > 0").groupBy("sig").agg(F.min("_k").alias("label"), first("n"), first("roots"), first("sketch")))
-    nodes = _small_nodes(sets.select("sig", "roots", "sketch")).join(sets.select("sig", "n", "sketch"), "sig").select("node", "sig", "n", "sketch")
-    parts = written(_candidates(nodes))
+    sketched = sets.select("sig", "n", "sketch")
+    nodes, stuck = _branches(sets.select("sig", "roots", "sketch"))
+    if stuck is not None:
+        nodes = nodes.unionByName(stuck.select(_node("block", _block(_dealt(F.col("c")))), "sig"))
+    parts = written(_candidates(nodes.join(sketched, "sig").select("node", "sig", "n", "sketch")))
     of = components(parts.select(F.col("root").alias("a"), F.col("sig").alias("b")))
     sized = of.join(sets.select(F.col("sig").alias("node"), "n"), "node")
     group = sized.groupBy("root").agg((F.count("*") <= GROUP).alias("few"), (F.sum("n") <= GROUP_SHINGLES).alias("short")).select("root", (F.col("few") & F.col("short")).alias("fits"))
     of = written(of.join(group, "root").select(F.col("node").alias("sig"), F.col("root").alias("g"), "fits"))
     members = of.where("fits").select("g", "sig").unionByName(parts.select(F.col("part").alias("g"), "sig").join(of.where(~F.col("fits")).select("sig"), "sig").select("g", "sig"))
-    wanted = of.select("sig").join(sets.select("sig", F.col("label").alias("_k"), "sketch"), "sig")
+    # the texts that any group may need meet their signatures once
+    needed = of.select("sig") if stuck is None else of.select("sig").unionByName(stuck.select("sig")).distinct()
+    wanted = needed.join(sets.select("sig", F.col("label").alias("_k"), "sketch"), "sig")
     texts = docs.select(id_key(id_col).alias("_k"), F.col(text_col).alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
-    linked = components(_confirmed(members.join(texts, "sig").select("g", "sig", "sketch", "_t"), k))
+    if stuck is None:
+        linked = components(_confirmed(members.join(texts, "sig"), k))
+    else:
+        texts = written(texts)
+        edges = written(_confirmed(members.join(texts, "sig"), k))
+        again = _rest(stuck, components(edges)).join(sketched, "sig").select("node", "sig", "n", "sketch", F.xxhash64("root").alias("r"))
+        parts = written(_candidates(again)).select(F.col("part").alias("g"), "sig")
+        linked = components(edges.unionByName(written(_confirmed(parts.join(texts, "sig"), k))))
     own = linked.join(sets.select(F.col("sig").alias("node"), "label"), "node")
     least = own.groupBy("root").agg(F.min("label").alias("component"))
     label = own.join(least, "root").select(F.col("node").alias("sig"), "component")
