@@ -120,3 +120,26 @@ def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
             run, size, first = [], 0, i + 1
     if run:
         yield first, run
+
+
+def combined(kmer: np.ndarray, finer: np.ndarray, k: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, done, kmer): of rows of one (kmer, finer) only those of the first (id, start) go on; the others are done, and
+    get a random key so that they are dealt evenly."""
+    order = np.lexsort((start, k, finer, kmer))
+    kmer, finer, k, start = kmer[order], finer[order], k[order], start[order]
+    new = np.ones(len(kmer), bool)
+    new[1:] = (kmer[1:] != kmer[:-1]) | (finer[1:] != finer[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(kmer) else np.zeros(0, np.int64)
+    done = (k != k[lead]) | (start != start[lead])
+    return order, done, np.where(done, mix(k.view(np.uint64) + start.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64), kmer)
+
+
+def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the keys _k and _h, and the keys that tell documents apart: _h (of the text) only where ids repeat."""
+    twice = not docs.groupBy(id_key(id_col).alias("_k")).count().where("count > 1").isEmpty()
+    return docs.withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col) if twice else F.lit(0).cast("long")}), ["_k", "_h"] if twice else ["_k"]
+
+
+def span(start: Column, n: Column) -> Column:
+    """The places [start, start + n) in one number."""
+    return F.shiftleft(start.cast("long"), 32) + n.cast("long")

@@ -1,13 +1,13 @@
 """Line dedup: repeated windows of three consecutive lines, removed everywhere but where they come first.
 
-Method: a text's lines are its \\n-split parts, and only those with a word count (the others stay
-where they are unless they lie inside a removed window). Every three consecutive counted lines
-are a window, keyed by 128 bits of hashes of its lines, trimmed of spaces and tabs. A window that also starts earlier
-(smaller id, or same document and earlier line) is repeated; the covered positions of a
-document's repeated windows are merged, and those lines go.
+Method: a text's lines are its \\n-split parts, and only those that hold more than spaces, tabs, \\r, \\f and \\v count (the
+others stay where they are unless they lie inside a removed window). Every three consecutive counted lines are a window, keyed by
+128 bits of the hash of its lines, trimmed of those characters. A window that also starts earlier (smaller id, or same document and
+earlier line) is repeated; the covered positions of a document's repeated windows are merged, and those lines go.
 
-Windows are judged on the input. One shuffle deals window keys (pre-aggregated) to find each first
-start, one joins them back (AQE splits a hot key), and texts are shuffled once, to meet their spans.
+Windows are judged on the input. Equal windows of one batch of texts are combined before the shuffle: only the first goes to its
+key, the others are done and dealt at random, so a window of a third of all documents is no hot key. Shuffled: a row for
+each line, and the texts once, to meet their spans.
 
 Defined results: null text has no lines and stays null; fewer than three counted lines have no
 window; a null id sorts first; rows that share id and text share one result, and do not make
@@ -16,81 +16,100 @@ each other's windows repeated; texts that share an id only are ordered by start
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import id_key, id_of, table
+from furlong.llm.common import combined, id_key, id_of, keyed_documents, span, table
 
 WINDOW = 3
+_BLANK = " \t\r\f\x0b"
+#: Windows that are combined at a time.
+_CHUNK = 200_000
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def windows(text: str | None, size: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(128-bit hash, first line, line behind the last) of each window."""
+    if not text:
+        return []
+    own = [(i, t) for i, x in enumerate(text.split("\n")) if (t := x.strip(_BLANK))]
+    return [(xxhash.xxh3_128_intdigest("\n".join([t for _, t in own[i : i + size]])), own[i][0], own[i + size - 1][0] + 1) for i in range(len(own) - size + 1)]
 
 
-def _counted(lines: Column) -> Column:
-    """(position, trimmed line) of the lines that hold a word."""
-    trimmed = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "").alias("line")))
-    return F.filter(trimmed, lambda x: x["line"] != "")
+def _windows(keyed: DataFrame, text_col: str, size: int) -> DataFrame:
+    names = ["_k", "_h", "w1", "w2", "a", "n", "done"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            k, h, w1, w2, a, n = (np.array(c, t) for c, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64), strict=True))
+            held.clear()
+            order, done, w1 = combined(w1.view(np.int64), w2.view(np.int64), k, a)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[order], h[order], w1, w2.view(np.int64)[order], a[order].astype(np.int32), n[order].astype(np.int32), done)], names=names)
+
+        for batch in batches:
+            for k, h, text in zip(*batch.columns, strict=True):
+                k, h = k.as_py(), h.as_py()
+                held += [(k, h, w >> 64, w & 0xFFFFFFFFFFFFFFFF, a, b - a) for w, a, b in windows(text.as_py(), size)]
+                if len(held) >= _CHUNK:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return keyed.select("_k", "_h", text_col).mapInArrow(run, "_k long, _h long, w1 long, w2 long, a int, n int, done boolean")
 
-def _starts(counted: Column, window: int) -> Column:
-    """For each window: where it starts, where it ends (lines of the text), its two hashes."""
-    part = lambda i, k: F.element_at(counted, (i + F.lit(k)).cast("int"))
-    one = lambda i: F.struct(
-        part(i, 0)["at"].alias("a"), (part(i, window - 1)["at"] + 1).alias("b"),
-        F.xxhash64(*[part(i, k)["line"] for k in range(window)]).alias("h1"),
-        F.xxhash64(F.lit("again"), *[part(i, k)["line"] for k in reversed(range(window))]).alias("h2"),
-    )
-    return F.when(F.size(counted) >= window, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(counted) - window + 1)), one))
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(_k, _h, spans): the merged [a, b) line spans of each text that has repeated windows."""
-    keyed = docs.select(id_key(id_col).alias("_k"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
-    wins = keyed.select("_k", "_h", F.explode(_starts(_counted(_lines(F.col("_t"))), window)).alias("w")).select("_k", "_h", "w.*")
-    first = wins.groupBy("h1", "h2").agg(F.min(F.struct("_k", "a")).alias("first"), F.max(F.struct("_k", "a")).alias("last")).where(F.col("first") != F.col("last"))
-    later = wins.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("_k", "a") > F.col("first"))
-    zero = F.lit(0)
-    merged = F.aggregate(
-        F.array_sort("own"), F.array().cast("array<struct<a:int,b:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(zero, F.size(acc) - 1)),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))),
-    )
-    return later.groupBy("_k", "_h").agg(F.collect_set(F.struct("a", "b")).alias("own")).select("_k", "_h", merged.alias("_spans"))
 
+def repeated_lines(keyed: DataFrame, keys: list[str], text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """(*keys, spans): the line spans (not merged) of repeated windows, from documents with their keys."""
+    first = F.min(F.struct("_k", "a")).over(Window.partitionBy("w1", "w2", "done"))
+    later = _windows(keyed, text_col, size).withColumn("first", first).where(F.col("done") | (F.struct("_k", "a") > F.col("first")))
+    return later.select(*keys, span(F.col("a"), F.col("n")).alias("s")).groupBy(*keys).agg(F.collect_set("s").alias("spans"))
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, removed_col: str | None = None) -> DataFrame:
+
+def without(text: str | None, spans: list[int]) -> tuple[str | None, int]:
+    """(the lines outside the spans, number of lines that went)"""
+    if not text or not spans:
+        return text, 0
+    own = text.split("\n")
+    change = np.zeros(len(own) + 1, np.int64)
+    for s in spans:
+        change[s >> 32] += 1
+        change[(s >> 32) + (s & 0xFFFFFFFF)] -= 1
+    stays = np.cumsum(change[:-1]) == 0
+    return "\n".join([own[i] for i in np.flatnonzero(stays).tolist()]), int((~stays).sum())
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, removed_col: str | None = None) -> DataFrame:
     """``docs`` with the lines of repeated windows gone from ``text_col``; ``removed_col`` gets their number."""
-    spans = repeated_lines(docs, id_col, text_col, window)
-    keep = [c for c in docs.columns if c != removed_col]
-    both = docs.select(*keep).withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col)}).join(spans, ["_k", "_h"], "left")
-    lines = _lines(F.col(text_col))
-    # spans are merged and in order: a line is inside one if the last that starts at or before it also ends after it
-    gone = lambda i: F.exists("_spans", lambda s: (s["a"] <= i) & (i < s["b"]))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n"))
-    out = {text_col: text}
-    if removed_col:
-        out[removed_col] = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"]), F.lit(0).cast("long"))
-        keep = [*keep, removed_col]
-    return both.withColumns(out).select(*keep)
+    docs = docs.select(*[c for c in docs.columns if c != removed_col])
+    keyed, keys = keyed_documents(docs, id_col, text_col)
+    both = keyed.join(repeated_lines(keyed, keys, text_col, size), keys, "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    where, names = docs.columns.index(text_col), [*docs.columns, *([removed_col] if removed_col else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = [without(t.as_py(), s.as_py()) for t, s in zip(batch.column(where), batch.column(batch.num_columns - 1), strict=True)]
+                cols = list(batch.columns[:-1])
+                cols[where] = pa.array([t for t, _ in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([n for _, n in rows], pa.int64())] if removed_col else [])], names=names)
+
+    return both.mapInArrow(run, (docs.withColumn(removed_col, F.lit(None).cast("long")) if removed_col else docs).schema)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, removed lines and the digest of what stays, of every document (a null text is empty)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, removed_col="n_removed")
-    left = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("text"))))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed")
     # a text of which every line went is empty: it has no line
-    left = F.when((F.col("text") == "") & (F.col("n_removed") > 0), F.lit(0)).otherwise(left)
+    left = F.when(F.col("text").isNull() | ((F.col("text") == "") & (F.col("n_removed") > 0)), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select(
-        id_of(id_key()).alias("doc_id"), (left + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed",
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        id_of(id_key()).alias("doc_id"), (left + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import WordHash, chunks, id_key, id_of, mix, table, written
+from furlong.llm.common import WordHash, chunks, combined, id_key, id_of, keyed_documents, mix, span, table, written
 
 WINDOW, KMER = 20, 6
 _U = np.uint64
@@ -77,18 +77,6 @@ def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return kmer[pos], text[start], start - begin[text[start]], count, run
 
 
-def _combined(kmer: np.ndarray, finer: np.ndarray, k: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, done, kmer): of rows of one (kmer, finer) only those of the first (id, start) go on; the others are done, and
-    get a random key so that they are dealt evenly."""
-    order = np.lexsort((start, k, finer, kmer))
-    kmer, finer, k, start = kmer[order], finer[order], k[order], start[order]
-    new = np.ones(len(kmer), bool)
-    new[1:] = (kmer[1:] != kmer[:-1]) | (finer[1:] != finer[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(kmer) else np.zeros(0, np.int64)
-    done = (k != k[lead]) | (start != start[lead])
-    return order, done, np.where(done, mix(k.view(np.uint64) + start.astype(np.uint64) * _BASE).view(np.int64), kmer)
-
-
 def _runs(docs: DataFrame) -> DataFrame:
     """(_k, _h, kmer, start, n, run, done) of each text, from (_k, _h, text); done: an equal run of the same chunk comes first."""
 
@@ -102,7 +90,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate([words.of(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
                 kmer, text, start, n, run = runs(flat, lengths)
                 text = text + first
-                order, done, kmer = _combined(kmer.view(np.int64), run, k[text], start)
+                order, done, kmer = combined(kmer.view(np.int64), run, k[text], start)
                 text, start, n, run = (x[order] for x in (text, start, n, run))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k[text]), pa.array(h[text]), pa.array(kmer), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(np.where(done, _U(0), run).view(np.int64)), pa.array(done)],
@@ -124,7 +112,7 @@ def _windows(spans: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             kmer, w, k, h, start = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, done, kmer = _combined(kmer, w, k, start)
+            order, done, kmer = combined(kmer, w, k, start)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (kmer, w[order], k[order], h[order], start[order].astype(np.int32), done)], names=names)
 
         for batch in batches:
@@ -145,17 +133,6 @@ def _windows(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(go, "kmer long, w long, _k long, _h long, start int, done boolean")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the keys _k and _h, and the keys that tell documents apart: _h (of the text) only where ids repeat."""
-    twice = not docs.groupBy(id_key(id_col).alias("_k")).count().where("count > 1").isEmpty()
-    return docs.withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col) if twice else F.lit(0).cast("long")}), ["_k", "_h"] if twice else ["_k"]
-
-
-def _span(start: Column, n: Column) -> Column:
-    """The words [start, start + n) in one number."""
-    return F.shiftleft(start.cast("long"), 32) + n.cast("long")
-
-
 def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from documents with their keys."""
     # one exchange by k-mer serves all windows below: the finer ones need no other
@@ -164,13 +141,13 @@ def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") ->
     met = met.withColumn("first", F.min(F.struct("_k", "start")).over(equal))
     later, branches = F.col("done") | (F.struct("_k", "start") > F.col("first")), ~F.col("done") & (F.col("low") != F.col("high"))
     found = written(met.where(later | branches).select(*keys, "start", "n", later.alias("later"), F.when(~later, F.col("kmer")).alias("kmer")))
-    plain = found.where("later").select(*keys, _span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
+    plain = found.where("later").select(*keys, span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
     # the first run of each kind at a k-mer that branches is read at its source, and each of its windows looks for an earlier start
     sources = found.where("not later").groupBy(*keys).agg(F.collect_set(F.struct("kmer", "start", "n")).alias("runs"))
     read = keyed.select(text_col, *keys).join(sources, keys).select(text_col, "_k", (F.col("_h") if "_h" in keys else F.lit(0).cast("long")).alias("_h"), "runs")
     first = F.min(F.struct("_k", "start")).over(Window.partitionBy("kmer", "w", "done"))
     each = _windows(read).repartition("kmer", "w").withColumn("first", first)
-    branching = each.where(F.col("done") | (F.struct("_k", "start") > F.col("first"))).select(*keys, _span(F.col("start"), F.lit(WINDOW)).alias("s"))
+    branching = each.where(F.col("done") | (F.struct("_k", "start") > F.col("first"))).select(*keys, span(F.col("start"), F.lit(WINDOW)).alias("s"))
     return plain.unionByName(branching).groupBy(*keys).agg(F.collect_set("s").alias("spans"))
 
 
@@ -178,7 +155,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with the words that stay, joined by one space, in ``out_col``, and the ``counts``."""
     names = [out_col, *counts]
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    keyed, keys = _keyed(docs, id_col, text_col)
+    keyed, keys = keyed_documents(docs, id_col, text_col)
     spans = repeated_spans(keyed, keys, text_col)
     # an id of this type comes back from its key, so the exchange of ids and texts is the one that the sources used
     same = {id_col: id_of("_k")} if docs.schema[id_col].dataType.typeName() == "long" else {}
