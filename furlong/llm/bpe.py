@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from furlong.llm.common import table
 
 MOST_VOCABULARY = 64 << 20
-MEMO = 200_000
+MEMO = 300_000
 _built: dict[str, Codec] = {}
 
 
@@ -86,11 +86,11 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.decimal = [str(i) for i in range(len(tokens))]
         self.byte = [self.whole(bytes([b])) for b in range(256)]
-        if None in self.byte:
-            raise ValueError("the vocabulary lacks a single byte")
+        if None in self.byte or len(tokens) > 1 << 20:
+            raise ValueError("the vocabulary lacks a single byte, or has over 2 ** 20 tokens")
         ranks = {tokens[i]: i for i in self.known}
         #: (left id, right id) -> id of their joined bytes
-        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.pairs = {ranks[t[:k]] << 20 | ranks[t[k:]]: i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.memo = _Memo(self)
 
     def whole(self, piece: bytes) -> int | None:
@@ -102,25 +102,38 @@ class Codec:
 
     def merged(self, piece: bytes) -> list[int]:
         """Tier two: a heap of mergeable pairs over the linked list of the piece's bytes."""
-        pairs = self.pairs
-        ids = [self.byte[b] for b in piece]
+        get, byte = self.pairs.get, self.byte
+        ids = [byte[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+        # rank of the pair that begins at a byte, or -1; a heap entry is a rank and the place, in one number
+        ranks = [get(x << 20 | y, -1) for x, y in zip(ids, ids[1:], strict=False)]
+        ranks.append(-1)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(ranks) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 32 | ids[j]) != rank:
+            entry = pop(heap)
+            i, rank = entry & mask, entry >> bits
+            if ranks[i] != rank:
                 continue  # one of the two has merged with another meanwhile
-            ids[i], ids[j] = rank, -1
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], ranks[j] = rank, -1, -1
             if k < n:
                 before[k] = i
-                if (r := pairs.get(rank << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := pairs.get(ids[h] << 32 | rank)) is not None:
-                heapq.heappush(heap, (r, h))
+                r = ranks[i] = get(rank << 20 | ids[k], -1)
+                if r >= 0:
+                    push(heap, r << bits | i)
+            else:
+                ranks[i] = -1
+            h = before[i]
+            if h >= 0:
+                r = ranks[h] = get(ids[h] << 20 | rank, -1)
+                if r >= 0:
+                    push(heap, r << bits | h)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
@@ -137,12 +150,12 @@ class _Memo(dict):
         super().__init__()
         self.codec, self.old = codec, {}
 
-    def __missing__(self, token: str) -> list[int]:
+    def __missing__(self, token: str) -> tuple[int, ...]:
         ids = self.old.get(token)
         if ids is None:
             piece = token.encode()
             one = self.codec.whole(piece)
-            ids = [one] if one is not None else self.codec.merged(piece)
+            ids = (one,) if one is not None else tuple(self.codec.merged(piece))  # no work for the garbage collector
         if len(token) <= 64:
             if len(self) >= MEMO:
                 self.old = dict(self)
