@@ -40,6 +40,8 @@ from furlong.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
 TREES, SKETCH, NODE, GROUP, DEPTH = 10, 64, 512, 1000, 6
+#: Documents of a block in which what a branch of near copies has not linked meets the branch.
+REST = 2048
 #: Sketch bytes that must agree, of SKETCH; and shingles that a group may hold in all.
 AGREE, GROUP_SHINGLES = 35, 8_000_000
 _U = np.uint64
@@ -118,24 +120,29 @@ def _node(kind: str, *cols) -> Column:
 
 def _branches(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(node, sig) of the branches that are compared exhaustively, and of those of near copies that are too large for it."""
-    nodes = sets.select("sig", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "sig", F.lit(None).cast("long").alias("parent"))
+    nodes = sets.select("sig", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "sig")
     out, stuck = None, None
     for depth in range(DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("c"), F.max("parent").alias("p")).where("c > 1")
-        met = written(nodes.select("node", "sig").join(sizes, "node"))
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        met = written(nodes.join(sizes, "node").select("node", "sig", "c"))
         small = met.where(F.col("c") <= NODE).select("node", "sig")
         out = small if out is None else out.unionByName(small)
         large = met.where(F.col("c") > NODE)
         if large.isEmpty():
             break
-        # what keeps half of its parent holds near copies: further branches would only repeat it
-        copies = F.lit(depth == DEPTH) | F.coalesce(2 * F.col("c") >= F.col("p"), F.lit(False))
-        own = large.where(copies).select("node", "sig", "c")
+        own = large
+        if depth < DEPTH:
+            first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(SKETCH)).cast("int")
+            second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int")
+            both = large.join(sets.select("sig", "sketch"), "sig").select("sig", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
+            split = written(both.select("sig", "node", "c", F.xxhash64("node", "j", F.expr("substring(sketch, j + 1, 1)")).alias("child")))
+            # a branch whose child keeps half of it holds near copies: further branches would only repeat it
+            copies = split.groupBy("node", "child").agg(F.count("*").alias("n"), F.first("c").alias("c")).where("2 * n >= c").select("node").distinct()
+            own = large.join(copies, "node", "left_semi")
+            nodes = split.join(copies, "node", "left_anti").select(F.col("child").alias("node"), "sig")
         stuck = own if stuck is None else stuck.unionByName(own)
-        first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(SKETCH)).cast("int")
-        second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int")
-        split = large.where(~copies).join(sets.select("sig", "sketch"), "sig").select("sig", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
-        nodes = split.select(F.xxhash64("node", "j", F.expr("substring(sketch, j + 1, 1)")).alias("node"), "sig", F.col("c").alias("parent"))
+        if depth == DEPTH:
+            break
     return out, None if stuck is None or stuck.isEmpty() else stuck
 
 
@@ -143,15 +150,15 @@ def _block(n: Column) -> Column:
     return F.pmod(F.xxhash64("sig", "node"), n).cast("int")
 
 
-def _dealt(count: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(count / F.lit(NODE // 2))).cast("int")
+def _dealt(count: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(size))).cast("int")
 
 
 def _rest(stuck: DataFrame, linked: DataFrame) -> DataFrame:
     """(node, sig, root): blocks in which what is outside of the largest component of a branch meets the whole branch."""
     rows = written(stuck.join(linked.select(F.col("node").alias("sig"), "root"), "sig", "left").select("node", "sig", F.coalesce("root", "sig").alias("root")))
     sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    per = sizes.select("node", F.col("top")["root"].alias("main"), _dealt(F.col("top")["n"]).alias("mains"), (F.col("all") - F.col("top")["n"]).alias("r")).where("r > 0").withColumn("rests", _dealt(F.col("r")))
+    per = sizes.select("node", F.col("top")["root"].alias("main"), _dealt(F.col("top")["n"], REST).alias("mains"), (F.col("all") - F.col("top")["n"]).alias("r")).where("r > 0").withColumn("rests", _dealt(F.col("r"), REST))
     both = rows.join(per, "node").select("node", "sig", "root", (F.col("root") == F.col("main")).alias("is_main"), "mains", "rests")
     main = both.where("is_main").select("node", "sig", "root", _block(F.col("mains")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("o"))
     rest = both.where(~F.col("is_main")).withColumn("b", _block(F.col("rests")))
@@ -301,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = sets.select("sig", "n", "sketch")
     nodes, stuck = _branches(sets.select("sig", "roots", "sketch"))
     if stuck is not None:
-        nodes = nodes.unionByName(stuck.select(_node("block", _block(_dealt(F.col("c")))), "sig"))
+        nodes = nodes.unionByName(stuck.select(_node("block", _block(_dealt(F.col("c"), NODE // 2))), "sig"))
     parts = written(_candidates(nodes.join(sketched, "sig").select("node", "sig", "n", "sketch")))
     of = components(parts.select(F.col("root").alias("a"), F.col("sig").alias("b")))
     sized = of.join(sets.select(F.col("sig").alias("node"), "n"), "node")

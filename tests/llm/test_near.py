@@ -56,6 +56,7 @@ def test_brute_and_deep_branches(spark, monkeypatch):
     for k, node, group in ((2, 512, 1000), (5, 8, 12)):
         monkeypatch.setattr(N, "NODE", node)
         monkeypatch.setattr(N, "GROUP", group)
+        monkeypatch.setattr(N, "REST", 4 * node)
         got = sorted((r._k, r.n_shingles, r.component) for r in N.near_duplicates(df, k=k).collect())
         assert got == brute(docs, k)
     kept = N.drop_near_duplicates(df, k=5).collect()
