@@ -467,6 +467,27 @@ def baseline_auc(spark, d):
     return r6(M.auc(_scored(spark, d), "y", "place", empty=0.5), "auc")
 
 
+def _modelled(spark, d):
+    from furlong.ml.models import out_of_fold
+
+    days = W.date_folds(t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day", 2)
+    own = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", F.length("o_orderpriority").alias("width"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return out_of_fold(own.join(days, "day"), ["o_totalprice", "width"], "y", "chunk", 2, trees=5)
+
+
+@query()
+def gbt_oof(spark, d):
+    return r6(_modelled(spark, d).select("o_orderkey", "fold", "p_raw"), "p_raw")
+
+
+@query()
+def isotonic_apply(spark, d):
+    from furlong.ml.models import apply_isotonic, fit_isotonic
+
+    scored = _scored(spark, d).groupBy("p").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    return r6(apply_isotonic(fit_isotonic(_scored(spark, d), "p", "y"), scored, "p"), "y", "p_calibrated")
+
+
 # ---- pages -----------------------------------------------------------------------------------------------------------
 
 
