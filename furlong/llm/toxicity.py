@@ -201,7 +201,8 @@ def _weights(counts: list[tuple[str, np.ndarray]], total: np.ndarray, without: i
     for key, c in counts:
         n0, n1 = c[use].sum(0)
         w = math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))
-        if n1 >= 3 and w > 1.8:
+        # what stands out by chance in few rows does not count: a standard error below must still be far above none
+        if n1 >= 3 and w - math.sqrt(1 / n1 + 1 / (n0 + 0.5)) > 1.8:
             out[key] = w
     return out
 
