@@ -1,8 +1,10 @@
 """Quality rules: rule statistics of every whole text, judged by an isolation forest.
 
-Method: an isolation forest over rule statistics. Trees split samples of labelled rows, among
-them ``BAD_SHARE`` bad ones, at random; a text whose statistics are isolated after few splits
-is anomalous. The score is 2 ** (-mean path / c(sample size)); the rejection threshold is the
+Method: an isolation forest over all rule statistics, none of them cut. Each is put on a scale that
+the clean labelled rows give: their quantiles inside their range, the logarithm of the distance
+beyond it. Trees split samples of labelled rows, among them ``BAD_SHARE`` bad ones, at random, and
+up to ``PAD`` beyond the rows as well, so that junk of a kind that no labelled row shows is isolated
+too; a text whose statistics are isolated after few splits is anomalous. The score is 2 ** (-mean path / c(sample size)); the rejection threshold is the
 one that makes the fewest errors on the labelled rows, a lost clean row counting ``COST`` times.
 
 Fitting takes at most ``MOST_LABELLED`` labelled rows, the first in the order of a hash of the
@@ -35,9 +37,10 @@ COST = 2
 BAD_SHARE = 0.05
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Rule statistics that make out the anomalies, with the share that ordinary prose stays under: what
-#: goes beyond it counts. Lengths and repeats are the base rules' part.
-STATS = {"symbols": 0.01, "capitals": 0.10, "shouts": 0.01, "bars": 0.03}
+#: What the forest sees of a text.
+STATS = ("mean_word", "longest_word", "n_words", "dup_lines", "repeat_words", "symbols", "capitals", "digits", "shouts", "bars", "beyond_ascii")
+#: Splits go so far beyond the rows on the scale; steps of its quantiles; the least range of a statistic.
+PAD, QUANTILES, LEAST_RANGE = 3.0, 64, 0.02
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _SPACE = [9, 10, 11, 12, 13, 32]
 _U = np.uint64
@@ -69,9 +72,12 @@ def statistics(text: str | None, words: WordHash) -> tuple[tuple[int, ...], list
     dup = len(lines) - len(set(lines))
     repeat = repeated_words(words.of(found))
     letters = int(count[65:91].sum() + count[97:123].sum())
-    # a few characters or words of nothing in particular keep short texts near the middle
-    shares = (symbols / (chars + 30), count[65:91].sum() / (letters + 30), count[33] / (chars + 30), count[124] / (n + 10))
-    stats = [max(0.0, x - most) for x, most in zip(shares, STATS.values(), strict=True)]
+    # a few characters, words or lines of nothing in particular keep short texts near the middle
+    stats = (
+        chars / max(1, n), math.log2(max(map(len, found), default=1)), math.log2(max(1, n)), dup / (len(lines) + 5), repeat / (n + 10),
+        symbols / (chars + 30), count[65:91].sum() / (letters + 30), count[48:58].sum() / (chars + 30), count[33] / (chars + 30),
+        count[124] / (n + 10), count[128:].sum() / (len(raw) + 30),
+    )
     return (n, chars, symbols, dup, repeat), [float(x) for x in stats]
 
 
@@ -79,11 +85,29 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words)
 
 
+class Scale:
+    """Strictly increasing: 0 to 1 by rank inside the range of the clean rows, and on by log distance beyond it."""
+
+    def __init__(self, clean: np.ndarray) -> None:
+        steps = np.linspace(0, 1, QUANTILES + 1)
+        self.at = [np.unique(np.quantile(x, steps)) for x in clean.T]
+        self.rank = [np.array([((x < v).mean() + (x <= v).mean()) / 2 for v in q]) for x, q in zip(clean.T, self.at, strict=True)]
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.empty(rows.shape)
+        for j, (q, rank) in enumerate(zip(self.at, self.rank, strict=True)):
+            x, unit = rows[:, j], max(LEAST_RANGE, q[-1] - q[0]) / 4
+            out[:, j] = np.interp(x, q, rank) + np.log1p(np.maximum(0, x - q[-1]) / unit) - np.log1p(np.maximum(0, q[0] - x) / unit)
+        return out
+
+
 class Forest:
     """Isolation trees in arrays: feature (-1 at a leaf), split value, left child, path length of a leaf."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> None:
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, scale: Scale | None = None) -> None:
         rng = np.random.default_rng(seed)
+        self.scale = scale
+        rows = scale(rows) if scale else rows
         self.c = _path(min(sample, len(rows)))
         self.trees = [self._tree(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng) for _ in range(trees)]
 
@@ -91,22 +115,24 @@ class Forest:
     def _tree(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         most = math.ceil(math.log2(max(len(rows), 2)))
         nodes: list[list[float]] = [[-1, 0.0, 0, 0.0]]
-        todo = [(0, rows, 0)]
+        todo = [(0, rows, 0, rows.min(0) - PAD, rows.max(0) + PAD)]
         while todo:
-            at, own, depth = todo.pop()
-            low, high = own.min(0), own.max(0)
-            can = np.flatnonzero(high > low)
-            if not len(can) or depth >= most:
+            at, own, depth, least, most_of = todo.pop()
+            low, high = np.maximum(least, own.min(0) - PAD), np.minimum(most_of, own.max(0) + PAD)
+            if len(own) < 2 or depth >= most:
                 nodes[at][3] = depth + _path(len(own))
                 continue
-            f = int(rng.choice(can)) if len(can) else 0
-            v = low[f] + (high[f] - low[f]) * rng.random()
+            wide = high - low
+            f = int(rng.choice(len(wide), p=wide / wide.sum()))
+            v = low[f] + wide[f] * rng.random()
             left = own[:, f] <= v
             nodes[at][:3] = [f, float(v), len(nodes)]
             nodes += [[-1, 0.0, 0, 0.0], [-1, 0.0, 0, 0.0]]
             for k, part in ((0, own[left]), (1, own[~left])):
                 if len(part):
-                    todo.append((len(nodes) - 2 + k, part, depth + 1))
+                    ends = [least.copy(), most_of.copy()]
+                    ends[1 - k][f] = v
+                    todo.append((len(nodes) - 2 + k, part, depth + 1, *ends))
                 else:
                     nodes[len(nodes) - 2 + k][3] = depth + 1
         f, v, c, p = (np.array(x) for x in zip(*nodes, strict=True))
@@ -114,6 +140,7 @@ class Forest:
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """0 to 1; the higher, the more anomalous."""
+        rows = self.scale(rows) if self.scale else rows
         total = np.zeros(len(rows))
         for f, v, child, path in self.trees:
             at = np.zeros(len(rows), np.int64)
@@ -171,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if y.sum() < 2 or y.all():
         return None, math.inf
     bad = np.random.default_rng(SEED).permutation(np.flatnonzero(~y))[: max(1, int(BAD_SHARE * y.sum()))]
-    forest = Forest(np.vstack([x[y], x[bad]]))
+    forest = Forest(np.vstack([x[y], x[bad]]), scale=Scale(x[y]))
     return forest, threshold(forest.score(x), y)
 
 

@@ -62,3 +62,35 @@ def test_forest_isolates():
     s = Q.Forest(x).score(x)
     assert s[:5].min() > np.quantile(s[5:], 0.98)
     assert Q.threshold(s, np.arange(500) >= 5) < s[:5].max()
+
+
+def test_junk_of_other_kinds(spark):
+    """What no labelled row shows is rejected as well, and clean text of the same words is kept."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 9))) for _ in range(3000)]
+
+    def prose(n, line=8):
+        ws = [vocabulary[i] for i in rng.integers(0, len(vocabulary), n)]
+        return "\n".join(" ".join(ws[i : i + line]).capitalize() + "." for i in range(0, n, line))
+
+    clean = [prose(int(n)) for n in rng.integers(60, 500, 400)]
+    signs = [" ".join("##|" if rng.random() < 0.4 else w for w in prose(200).split()) for _ in range(40)]
+    kept = [prose(int(n)) for n in rng.integers(80, 400, 100)]
+    junk = {
+        "lines": [prose(160, 2) + "\nx y" * 60 for _ in range(5)],
+        "words": [prose(120) + "\n" + " ".join(prose(40).split() * 2) for _ in range(5)],
+        "endless": [" ".join("q" * 300 if i % 5 == 0 else w for i, w in enumerate(prose(100).split())) for _ in range(5)],
+        "digits": [" ".join(str(rng.integers(10**6)) if i % 2 else w for i, w in enumerate(prose(200).split())) for _ in range(5)],
+        "mojibake": [" ".join("Ã©Ã¨â€™" if i % 2 else w for i, w in enumerate(prose(200).split())) for _ in range(5)],
+    }
+    texts = clean + signs + kept + [t for own in junk.values() for t in own]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(clean))) for i in range(len(clean) + len(signs))], "doc_id long, quality int")
+    got = {r.doc_id: r.quality_rules for r in Q.judge(docs, Q.fit(docs, labels)).collect()}
+    first = len(clean) + len(signs)
+    assert sum(got[first + i].kept for i in range(len(kept))) >= 0.97 * len(kept)
+    assert not any(got[len(clean) + i].kept for i in range(len(signs)))
+    for k, kind in enumerate(junk):
+        own = [got[first + len(kept) + 5 * k + i] for i in range(5)]
+        assert not any(r.base_failed for r in own), kind
+        assert not any(r.kept for r in own), kind
