@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.operators.windows import inner_tail
+
 MISSING = -9999.0
+#: The training run: most trees, trees without a gain that stop it, share of the latest races held for that, least trees of the final fit.
+TREES, PATIENCE, INNER_RATIO, FLOOR = 1000, 50, 0.2, 10
+ROWS_A_TASK = 50_000
 
 
 def assembled(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -21,18 +26,69 @@ def assembled(df: DataFrame, features: list[str], out: str = "features") -> Data
     return VectorAssembler(inputCols=names, outputCol=out).transform(filled).drop(*names)
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, chunk: str, n_splits: int, out: str = "p_raw", trees: int = 20, seed: int = 42) -> DataFrame:
-    """Rows of chunks 1..n, each scored by trees that saw earlier chunks only; ``fold`` is text. Chunk 0 only trains."""
+def best_count(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(trees up to the least loss, whether ``patience`` further trees brought none less)."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_stopped(ready: DataFrame, label: str, race: str, date: str, trees: int, patience: int, ratio: float, seed: int) -> tuple[GBTClassificationModel, int]:
+    """(trees fitted on all but the latest ``ratio`` of races, their number): as many as have the least loss on those races.
+
+    These trees cannot be carried on, so a fit that has not stopped is repeated with twice as many, up to ``trees``. The
+    first trees of a longer fit on the same kept rows are those of a shorter one.
+    """
+    tail = inner_tail(ready.select(race, date), race, date, ratio)
+    split = ready.join(tail.select(race, "is_val"), race).select("features", label, "is_val")
+    # every level of every tree is a job: few rows are kept in few partitions
+    split = split.coalesce(max(1, -(-ready.count() // ROWS_A_TASK))).persist()
+    try:
+        inner, held = split.where(~F.col("is_val")), split.where("is_val")
+        n = min(trees, patience + 14)
+        while True:
+            fitted = _gbt(label, n, seed).fit(inner)
+            best, stopped = best_count(fitted.evaluateEachIteration(held), patience)
+            if stopped or n >= trees:
+                return (fitted if best == n else _gbt(label, best, seed).fit(inner)), best
+            n = min(trees, 2 * n)
+    finally:
+        split.unpersist()
+
+
+def _gbt(label: str, trees: int, seed: int) -> GBTClassifier:
+    return GBTClassifier(labelCol=label, maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.9, seed=seed)
+
+
+def out_of_fold(
+    df: DataFrame, features: list[str], label: str, chunk: str, n_splits: int, race: str, date: str, out: str = "p_raw",
+    trees: int = TREES, patience: int = PATIENCE, ratio: float = INNER_RATIO, seed: int = 42,
+) -> DataFrame:
+    """Rows of chunks 1..n, each scored by trees that saw earlier chunks only, stopped early on the latest races of those;
+    ``fold`` is text. Chunk 0 only trains."""
     ready = assembled(df, features).withColumn(label, F.col(label).cast("double"))
-    model = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.9, seed=seed)
     parts = []
     for fold in range(n_splits):
-        fitted = model.fit(ready.where(F.col(chunk) <= fold))
+        fitted, _ = fit_stopped(ready.where(F.col(chunk) <= fold), label, race, date, trees, patience, ratio, seed)
         scored = fitted.transform(ready.where(F.col(chunk) == fold + 1))
         parts.append(scored.select(*df.columns, vector_to_array("probability")[1].alias(out), F.lit(str(fold)).alias("fold")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def final_fit(
+    df: DataFrame, features: list[str], label: str, race: str, date: str, trees: int = TREES, patience: int = PATIENCE,
+    ratio: float = INNER_RATIO, floor: int = FLOOR, seed: int = 42,
+) -> tuple[GBTClassificationModel, int]:
+    """(trees on all rows, the number that early stopping found): at least ``floor`` trees are fitted."""
+    ready = assembled(df, features).withColumn(label, F.col(label).cast("double"))
+    _, best = fit_stopped(ready, label, race, date, trees, patience, ratio, seed)
+    return _gbt(label, max(best, floor), seed).fit(ready), best
+
+
 def fit_isotonic(df: DataFrame, raw: str, label: str) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol=raw, labelCol=label).fit(df.select(F.col(raw).cast("double").alias(raw), F.col(label).cast("double").alias(label)))
 

@@ -470,9 +470,9 @@ def baseline_auc(spark, d):
 def _modelled(spark, d):
     from furlong.ml.models import out_of_fold
 
-    days = W.date_folds(t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day", 2)
+    days = W.date_folds(t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")), "day", 5)
     own = t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", F.length("o_orderpriority").alias("width"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    return out_of_fold(own.join(days, "day"), ["o_totalprice", "width"], "y", "chunk", 2, trees=5)
+    return out_of_fold(own.join(days, "day"), ["o_totalprice", "width"], "y", "chunk", 5, "o_orderkey", "day")
 
 
 @query()
