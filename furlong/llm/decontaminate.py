@@ -9,7 +9,9 @@ verified word by word.
 
 The benchmark is dealt into blocks of ``BLOCK_BYTES`` at most by a size that is measured first;
 each block is broadcast and all documents pass it: no shuffle of documents. Only the spans of
-documents that are hit are grouped if there is more than one block.
+documents that are hit are grouped if there is more than one block. An item larger than a block is
+cut into runs that overlap by a window less one word, which are dealt as items of the same id: no
+window is lost, and none is made that the item does not have.
 
 Words: A-Z lower-cased, then runs of bytes that are 0-9, a-z or beyond ASCII. Defined results:
 null or wordless texts have no words and are not contaminated; items without words have no
@@ -132,12 +134,37 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
+def runs_of(text: str, window: int, most: int) -> Iterator[str]:
+    """The words of ``text`` in runs of about ``most`` bytes, longer only where a single window is; each window is in one."""
+    ws = words_of(text)
+    at = 0
+    while at < len(ws):
+        end, size = at, 0
+        while end < len(ws) and (end - at < window or size + len(ws[end]) < most):
+            size += len(ws[end]) + 1
+            end += 1
+        yield b" ".join(ws[at:end]).decode()
+        if end == len(ws):
+            return
+        at = end - window + 1
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[list]:
     """The items block by block, each of which is small enough to collect and broadcast."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     total, most = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
     if most > block_bytes:
-        raise ValueError(f"a benchmark item of {most} bytes is larger than a block of {block_bytes}")
+        # runs of a quarter of a block, so that blocks can be filled evenly
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                long = [k for k, t in enumerate(batch.column(1).to_pylist()) if len(t.encode()) > block_bytes]
+                yield batch.filter(pa.array(np.isin(np.arange(batch.num_rows), long, invert=True)))
+                for k in long:
+                    for t in runs_of(batch.column(1)[k].as_py(), window, block_bytes // 4):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([t], batch.schema.field(1).type)], schema=batch.schema)
+
+        items = items.mapInArrow(run, items.schema)
+        total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = 1 if total <= block_bytes else -(-4 * total // block_bytes)
     for b in range(n):
         own = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
@@ -201,7 +228,7 @@ def contamination(
     docs = docs.select(*[c for c in docs.columns if c != out_col])
     spark = docs.sparkSession
     parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for items in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
         w = Windows(items, window)
         if not parts or len(w.size):
             sent = spark.sparkContext.broadcast(w)

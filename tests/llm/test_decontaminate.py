@@ -40,3 +40,27 @@ def test_brute(spark):
             assert c.contaminated == (h > 0 and 20 * h >= n)
     assert D.contamination(d, b.limit(0)).where("contamination.n_hit > 0").count() == 0
     assert D.contamination(d.limit(0), b).count() == 0
+
+
+def test_item_larger_than_a_block(spark):
+    rng = random.Random(6)
+    mk = lambda n: " ".join(rng.choice(["a", "b", "C", "é", "d9", "fffff"]) + str(rng.randrange(3)) for _ in range(n))
+    long, unlisted, word = mk(300), mk(150), "w" * 500
+    items = [(1, long), (None, unlisted), (2, f"{word} x"), (3, f"one {word} two three four {word}"), (4, "a0 b1"), (5, " . " * 300)]
+    ws = long.split()
+    docs = [(k, " ".join(ws[k : k + 4])) for k in range(297)] + [(400, long), (401, unlisted), (402, f"p {word} x q"), (403, f"{word} two three four"), (404, mk(80)), (405, "a0 b1"), (406, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for r in D.contamination(d, b, window=4, block_bytes=400).collect():
+        c = r.contamination
+        assert (c.n_words, c.n_hit, list(c["items"])) == brute(r.text, items, 4)
+
+
+def test_runs_keep_every_window():
+    rng = random.Random(7)
+    for n in (0, 1, 3, 4, 5, 40, 200):
+        ws = ["x" * rng.choice([1, 2, 9, 70]) + str(i) for i in range(n)]
+        for most in (1, 30, 10_000):
+            runs = [r.split() for r in D.runs_of(" ".join(ws), 4, most)]
+            wins = lambda x: {tuple(x[k : k + min(4, len(x))]) for k in range(max(1, len(x) - 3)) if x}
+            assert set().union(*map(wins, runs)) == wins(ws)
