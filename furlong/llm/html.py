@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block in page order."""
     found: list[tuple[str, list[str]]] = []
     open_tags: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = {}  # of each tag name, where it is in open_tags
     inside: dict[str, int] = {}
     parts: list[str] = []
     linked, total, links = 0, 0, 0
@@ -79,7 +81,9 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
 
     def pop(upto: int) -> None:
         while len(open_tags) > upto:
-            for f in open_tags.pop()[1]:
+            tag, own = open_tags.pop()
+            places[tag].pop()
+            for f in own:
                 if inside[f] == 1:
                     del inside[f]
                 else:
@@ -113,20 +117,20 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
                 at = last.end() if last else end
             continue
         if closing:
-            k = next((k for k in range(len(open_tags) - 1, max(-1, len(open_tags) - 200), -1) if open_tags[k][0] == tag), None)
-            if k is not None:
-                pop(k)
+            if places.get(tag):
+                pop(places[tag][-1])
             links = 0
         else:
             if open_tags and open_tags[-1][0] == "p":
                 pop(len(open_tags) - 1)
             if tag in _CLOSES:
-                for k in range(len(open_tags) - 1, max(-1, len(open_tags) - 8), -1):
-                    if open_tags[k][0] in _BARS and open_tags[k][0] not in _CLOSES[tag]:
-                        break
-                    if open_tags[k][0] in _CLOSES[tag]:
-                        pop(k)
+                # what the tag ends, from the outermost inside the nearest bar
+                bar = max((places[x][-1] for x in _BARS - _CLOSES[tag] if places.get(x)), default=-1)
+                ended = [found_at[k] for x in _CLOSES[tag] if (found_at := places.get(x)) and (k := bisect_right(found_at, bar)) < len(found_at)]
+                if ended:
+                    pop(min(ended))
             own = _ancestor(tag, attrs)
+            places.setdefault(tag, []).append(len(open_tags))
             open_tags.append((tag, own))
             for f in own:
                 inside[f] = inside.get(f, 0) + 1

@@ -58,3 +58,18 @@ def test_viterbi_is_the_best_path():
         return sum(e) + c.first[path[0]] + sum(c.step[a][b] for a, b in itertools.pairwise(path))
 
     assert abs(max(score(p) for p in itertools.product((0, 1), repeat=len(f))) - score(c.decode(f))) < 1e-9
+
+
+def test_closing_tags_reach_any_depth():
+    inner = "<div>x" * 500
+    page = f"<article><p>One.</p>{inner}</article><footer>Two.</footer><nav>{inner}</nav><p>Three.</p>"
+    features = {t: f for t, f in H.blocks(page)}
+    assert "in:article" in features["One."]
+    assert not {"in:article", "in:div"} & set(features["Two."])
+    assert not {"in:nav", "in:div"} & set(features["Three."])
+    for outer, a, b in (("ul", "li", "li"), ("table", "td", "tr"), ("dl", "dt", "dd")):
+        features = {t: f for t, f in H.blocks(f"<{outer}><{a}>{'<section>' * 300}<p>One.<{b}>Two.</{outer}>")}
+        assert "in:section" in features["One."] and "in:section" not in features["Two."] and f"in:{outer}" in features["Two."]
+    # a list inside an item is a bar
+    features = {t: f for t, f in H.blocks(f"<ul><li class=main>{'<section>' * 300}<ul><li>One.")}
+    assert "hint:main" in features["One."]
