@@ -18,9 +18,26 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# What counts as white space at the ends of a text, beyond ASCII too; full-width letters and digits.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+_ASCII = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _ASCII)
+# The forms of result cells.
+WEIGHT_CELL = r"^(\d{1,4})(?:\(([+-]?\d{1,3})\))?$"
+SEX_AGE_CELL = r"^(牡|牝|セ)(\d{1,2})$"
+PASSING_SIGNS = "[-－―]"
+DEMOTED_CELL = r"^(\d+)\s*[（(]?降[）)]?$"
+REGION_CELL = r"^\[([東西])\]\s*(.+)$"
+
+
 def trim_u(c: str | Column) -> Column:
     """Without white space at the ends, the ideographic space included."""
-    return F.regexp_replace(_col(c), r"^[\s　]+|[\s　]+$", "")
+    return F.btrim(_col(c), F.lit(SPACE))
+
+
+def half_width(c: str | Column) -> Column:
+    """Full-width letters and digits as ASCII ones."""
+    return F.translate(_col(c), _WIDE, _ASCII)
 
 
 def null_tokens(c: str | Column) -> Column:
@@ -51,35 +68,35 @@ def _group(c: str | Column, pattern: str, group: int) -> Column:
 
 def weight_and_change(c: str | Column) -> Column:
     """struct(weight, change) of 456(+4)."""
-    pattern = r"^(\d{1,4})(?:\(([+-]?\d{1,3})\))?$"
+    pattern = WEIGHT_CELL
     return F.struct(_group(trim_u(c), pattern, 1).try_cast("double").alias("weight"), _group(trim_u(c), pattern, 2).try_cast("double").alias("change"))
 
 
 def sex_and_age(c: str | Column) -> Column:
     """struct(sex, age) of a sex sign followed by an age."""
-    pattern = r"^(牡|牝|セ)(\d{1,2})$"
+    pattern = SEX_AGE_CELL
     return F.struct(_group(trim_u(c), pattern, 1).alias("sex"), _group(trim_u(c), pattern, 2).try_cast("long").alias("age"))
 
 
 def corners(c: str | Column) -> Column:
     """Four places of a passing text such as 3-3-2-1: blanks are skipped, other texts are null places."""
-    parts = F.filter(F.transform(F.split(_col(c), "[-－―]"), trim_u), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(_col(c), PASSING_SIGNS), trim_u), lambda x: x != "")
     places = F.transform(parts, lambda x: x.try_cast("double"))
     return F.struct(*[F.get(places, F.lit(i)).alias(f"corner_{i + 1}") for i in range(4)])
 
 
 def finish_cell(c: str | Column) -> Column:
-    """struct(position, note) of a finish cell: a number, a number with a note (kept), or a note alone."""
-    t = trim_u(c)
-    pattern = r"^(\d{1,2})(?:[(（]?(\D+?)[)）]?)?$"
-    number = _group(t, pattern, 1).try_cast("long")
-    return F.struct(number.alias("position"), F.when(number.isNotNull(), _group(t, pattern, 2)).otherwise(blank_to_null(t)).alias("note"))
+    """struct(position, note) of a finish cell: a place, a place that was taken away in part (kept, with its note), or a note alone."""
+    t = blank_to_null(trim_u(c))
+    demoted = _group(t, DEMOTED_CELL, 1).try_cast("long")
+    place = F.coalesce(demoted, t.try_cast("long"))
+    return F.struct(place.alias("position"), F.when(demoted.isNotNull(), F.lit("降")).when(place.isNull(), t).alias("note"))
 
 
 def region_and_name(c: str | Column) -> Column:
     """struct(region, name) of a name with a bracketed region in front."""
-    pattern = r"^\[([東西])\]\s*(.+)$"
-    return F.struct(_group(_col(c), pattern, 1).alias("region"), F.coalesce(_group(_col(c), pattern, 2), trim_u(c)).alias("name"))
+    t = trim_u(c)
+    return F.struct(_group(t, REGION_CELL, 1).alias("region"), blank_to_null(F.coalesce(trim_u(_group(t, REGION_CELL, 2)), t)).alias("name"))
 
 
 def tri_state(c: str | Column) -> Column:

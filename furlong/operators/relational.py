@@ -35,10 +35,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """The union with one row of each key; new rows win, and of several the last in the order."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The union with one row of each key; new rows win, and of several the last in the order, which must tell them apart."""
+    latest = [F.col("_v").desc(), *[c.desc_nulls_last() for c in order]]
     both = existing.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return keep_first(both, keys, [F.col("_v").desc(), *(order or [])]).drop("_v")
+    return keep_first(both, keys, latest).drop("_v")
 
 
 def union_strict(a: DataFrame, b: DataFrame, keys: list[str], check: bool = True) -> DataFrame:

@@ -52,17 +52,37 @@ def field_size(group: str, counted: str, out: str = "field_size") -> Op:
 def expanding_zscore(race: str, groups: list[str], order: list[str], metric: str, least: int = 5, out: str = "zscore") -> Op:
     """z of the metric against the mean and deviation of the race means of earlier races of the group.
 
-    Runners meet race-level numbers, so no runner sees its own race: races are aggregated, windowed, and joined back.
+    Runners meet race-level numbers, so no runner sees its own race: races are aggregated, windowed, and joined back. ``order`` is
+    a date and what breaks its ties. Only one row a day is ordered in a whole group; races are ordered inside their day, so
+    a group of very many races is no single task. Moments are taken about the group's first value, and a spread of equal values is exactly zero.
     """
+    date, *ties = order
 
     def apply(df: DataFrame) -> DataFrame:
         races = df.groupBy(race).agg(F.avg(metric).alias("_m"), *[F.min(c).alias(c) for c in dict.fromkeys([*groups, *order]) if c != race])
         known = F.lit(True)
         for g in groups:
             known = known & F.col(g).isNotNull()
-        before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(UP, -1)
-        enough = known & (F.count("_m").over(before) >= least)
-        stats = races.select(race, F.when(enough, F.avg("_m").over(before)).alias("_mean"), F.when(enough, F.stddev_samp("_m").over(before)).alias("_std"))
+        x = F.col("_m")
+        inside = Window.partitionBy(*groups, date).orderBy(*[c for c in ties] or [race]).rowsBetween(UP, -1)
+        days = races.where(known).groupBy(*groups, date).agg(F.count("_m").alias("n"), F.avg("_m").alias("mean"), F.var_pop("_m").alias("var"), F.min("_m").alias("low"), F.max("_m").alias("high"))
+        whole = Window.partitionBy(*groups).orderBy(date).rowsBetween(UP, -1)
+        # sums about a value near the data lose nothing to cancellation: the group's first day's mean
+        days = days.withColumn("about", F.first("mean", ignorenulls=True).over(Window.partitionBy(*groups).orderBy(date).rowsBetween(UP, Window.unboundedFollowing)))
+        d = F.col("mean") - F.col("about")
+        prior = {"_n": F.sum("n"), "_s": F.sum(F.col("n") * d), "_q": F.sum(F.col("n") * (F.col("var") + d * d)), "_low": F.min("low"), "_high": F.max("high")}
+        days = days.select(*groups, date, "about", *[c.over(whole).alias(n) for n, c in prior.items()])
+        zero = F.lit(0.0)
+        own = races.where(known).join(days, [*groups, date])
+        y = x - F.col("about")
+        n = F.coalesce("_n", F.lit(0)) + F.count("_m").over(inside)
+        total = F.coalesce("_s", zero) + F.coalesce(F.sum(y).over(inside), zero)
+        square = F.coalesce("_q", zero) + F.coalesce(F.sum(y * y).over(inside), zero)
+        low, high = F.least("_low", F.min("_m").over(inside)), F.greatest("_high", F.max("_m").over(inside))
+        moments = own.select(race, "about", n.alias("_n"), total.alias("_s"), square.alias("_q"), (low == high).alias("_flat"))
+        enough = F.col("_n") >= least
+        spread = F.when(F.col("_flat"), zero).otherwise(F.sqrt(F.greatest(zero, (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1))))
+        stats = moments.where(enough).select(race, (F.col("about") + F.col("_s") / F.col("_n")).alias("_mean"), spread.alias("_std"))
         return df.join(stats, race, "left").withColumn(out, F.when(F.col("_std") > 0, (F.col(metric) - F.col("_mean")) / F.col("_std"))).drop("_mean", "_std")
 
     return apply
@@ -71,30 +91,42 @@ def expanding_zscore(race: str, groups: list[str], order: list[str], metric: str
 def rolling_dual(person: str, race: str, date: str, sums: dict[str, str], valid: str, days: int = 365, entries: int = 100) -> Op:
     """For each (person, race): sums over earlier entries within ``days`` and among the last ``entries``.
 
-    Both limits take a suffix of the same list, so the result is that of the shorter one: the range frame, or, where it
-    holds more than ``entries``, the row frame as of the previous entry. ``sums`` maps a result to a 0/1 column;
+    Both limits take a suffix of the same list, so the result is that of the shorter one: the entries of the days, or, where
+    those are more than ``entries``, the last ones as of the previous entry. ``sums`` maps a result to a 0/1 column;
     rates divide by the valid starts, and rides counts them. Entries without a valid start do not count.
+
+    Every frame is a difference of two running sums, which cost one addition a row however long the frame is. A person's entries are
+    dealt by blocks of days, each with the block before it, which holds all that a frame can reach: a person of very many entries
+    is no single task.
     """
 
     def apply(df: DataFrame) -> DataFrame:
-        names = ["_one", "_valid", *sums]
+        names = ["_valid", *sums]
         per = (
             df.where(F.col(person).isNotNull()).groupBy(person, race)
             .agg(F.min(date).alias(date), F.sum(valid).alias("_valid"), *[F.sum(c).alias(n) for n, c in sums.items()])
-            .withColumn("_day", F.unix_date(F.col(date).cast("date"))).withColumn("_ok", F.col("_valid") > 0).withColumn("_one", F.lit(1))
+            .withColumn("_day", F.unix_date(F.col(date).cast("date"))).withColumn("_one", (F.col("_valid") > 0).cast("int"))
         )
-        whole = Window.partitionBy(person).orderBy("_day", race).rowsBetween(UP, -1)
-        earlier = Window.partitionBy(person).orderBy("_day").rangeBetween(-days, -1)
-        today = Window.partitionBy(person, "_day").orderBy(race).rowsBetween(UP, -1)
-        last = Window.partitionBy(person, "_ok").orderBy("_day", race).rowsBetween(-(entries - 1), 0)
-        own = lambda c: F.when(F.col("_ok"), F.col(c)).otherwise(0)
-        near = {c: F.coalesce(F.sum(own(c)).over(earlier), F.lit(0)) + F.coalesce(F.sum(own(c)).over(today), F.lit(0)) for c in names}
-        per = per.withColumns({f"_l{c}": F.when(F.col("_ok"), F.sum(c).over(last)) for c in names[1:]}).withColumns({f"_y{c}": x for c, x in near.items()})
-        per = per.withColumns({f"_p{c}": F.last(f"_l{c}", ignorenulls=True).over(whole) for c in names[1:]})
-        used = {c: F.when(F.col("_y_one") <= entries, F.col(f"_y{c}")).otherwise(F.col(f"_p{c}")) for c in names[1:]}
-        per = per.withColumns({f"_s{c}": x for c, x in used.items()})
+        own = {c: F.when(F.col("_one") == 1, F.col(c)).otherwise(0) for c in names}
+        block = F.floor(F.col("_day") / (days + 1))
+        per = per.select(person, race, "_day", "_one", *[x.alias(c) for c, x in own.items()], block.alias("_own"), F.explode(F.array(block, block + 1)).alias("_block"))
+        key = [person, "_block"]
+        rows = Window.partitionBy(*key).orderBy("_day", race)
+        by_day = Window.partitionBy(*key).orderBy("_day")
+        before, gone = rows.rowsBetween(UP, -1), by_day.rangeBetween(UP, -(days + 1))
+        # running sums as of the previous entry, as of the last day that is too old, and by the number of entries so far
+        sofar = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_one", *names)}
+        old = {c: F.coalesce(F.sum(c).over(gone), F.lit(0)) for c in ("_one", *names)}
+        per = per.withColumns({f"_a{c}": x for c, x in sofar.items()} | {f"_o{c}": x for c, x in old.items()})
+        # the running sums when ``entries`` fewer entries had started: those of the entry that far back among entries that count
+        back = Window.partitionBy(*key, "_one").orderBy("_day", race)
+        per = per.withColumns({f"_b{c}": F.when(F.col("_one") == 1, F.lag(f"_a{c}", entries - 1).over(back)) for c in names})
+        per = per.withColumns({f"_p{c}": F.last(f"_b{c}", ignorenulls=True).over(before) for c in names})
+        near = F.col("_a_one") - F.col("_o_one") <= entries
+        used = {c: F.col(f"_a{c}") - F.when(near, F.col(f"_o{c}")).otherwise(F.col(f"_p{c}")) for c in names}
+        per = per.where("_own = _block").withColumns({f"_s{c}": x for c, x in used.items()})
         rates = [F.when(F.col("_s_valid") > 0, F.col(f"_s{n}") / F.col("_s_valid")).alias(f"{n}_rate") for n in sums]
-        return per.select(person, race, *rates, F.coalesce(F.col("_s_valid").cast("double"), F.lit(0.0)).alias("rides"))
+        return per.select(person, race, *rates, F.col("_s_valid").cast("double").alias("rides"))
 
     return apply
 

@@ -341,7 +341,7 @@ UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 10
 def upsert_keep_last(spark, d):
     old = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     new = old.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("new"))
-    return O.upsert(old, new.unionByName(new.withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)), ["o_orderkey"])
+    return O.upsert(old, new.unionByName(new.withColumn("o_orderkey", F.col("o_orderkey") + 100_000_000)), ["o_orderkey"], [F.col("o_orderstatus")])
 
 
 @query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey + 100000000, s_name FROM supplier")
@@ -416,7 +416,7 @@ def ref_integrity(spark, d):
     return a.agg(F.count("*").alias("orphans")).select(F.lit("orders").alias("child"), "orphans").unionByName(b.agg(F.count("*").alias("orphans")).select(F.lit("lineitem").alias("child"), "orphans"))
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 5")
 def hash_sample(spark, d):
     return Q.hash_sample(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5)
 
@@ -480,7 +480,10 @@ def gbt_oof(spark, d):
     return r6(_modelled(spark, d).select("o_orderkey", "fold", "p_raw"), "p_raw")
 
 
-@query()
+#: The isotonic fit of few distinct scores, by its definition: the largest, over starts at or below, of the least mean to an end at or above.
+@query(_S[:-2] + """, g AS (SELECT p, sum(y) AS k, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT a.p AS lo, b.p AS hi, (SELECT sum(k) / sum(n) FROM g WHERE p BETWEEN a.p AND b.p) AS mean FROM g a JOIN g b ON a.p <= b.p)
+SELECT g.p, round(k / n, 6) AS y, n, round((SELECT max(least_mean) FROM (SELECT lo, min(mean) AS least_mean FROM m WHERE lo <= g.p AND hi >= g.p GROUP BY lo)), 6) AS p_calibrated FROM g""")
 def isotonic_apply(spark, d):
     from furlong.ml.models import apply_isotonic, fit_isotonic
 

@@ -17,16 +17,16 @@ def blocked(html: str, required: str) -> Column:
     return c.isNull() | (F.length(c) < LEAST_CHARS) | said | ~c.contains(required)
 
 
-def read_pages(spark: SparkSession, path: str, stem: str = r"(\d{12})") -> DataFrame:
+def read_pages(spark: SparkSession, path: str | list[str], stem: str = r"(\d{12})") -> DataFrame:
     """(race_id, html) of saved pages; a file whose name is no id has a null id."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.nullif(F.regexp_extract(F.input_file_name(), stem + r"\.html$", 1), F.lit("")).alias("race_id"), F.col("value").alias("html"))
 
 
 def day_links(pages: DataFrame, html: str = "html", base: str = "") -> DataFrame:
     """(day, url) of the calendar's links, valid dates only, the first of each day."""
     ids = F.regexp_extract_all(html, F.lit(r'href="[^"]*/race/list/(\d{8})(?:/[^"]*)?"'), F.lit(1))
-    rows = pages.select(F.posexplode(ids).alias("pos", "d")).withColumn("day", F.try_to_date("d", F.lit("yyyyMMdd"))).where("day is not null")
+    rows = pages.select(F.posexplode(ids).alias("pos", "d")).withColumn("day", F.try_to_date("d", "yyyyMMdd")).where("day is not null")
     return rows.groupBy("day", "d").agg(F.min("pos").alias("pos")).select("day", F.concat(F.lit(base + "/race/list/"), "d", F.lit("/")).alias("url"), "pos")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from furlong.sources.tables import upsert_months
 
 
-def upsert_stream(stream: DataFrame, path: str, date: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """Each batch merges into its months; a batch that is replayed gives the same rows."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert_months(df, path, date, keys) and None)
+def upsert_stream(stream: DataFrame, root: str, table: str, keys: list[str], order: list[Column], checkpoint: str, date: str = "race_date", routes: DataFrame | None = None) -> DataStreamWriter:
+    """Each batch merges into its months; ``order`` decides between rows of one key, so a batch that is replayed gives the same rows."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert_months(df, root, table, keys, order, date, routes) and None)

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from furlong.plans.catalogue import QUERIES, SQL
+from furlong.plans.catalogue_pipeline import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

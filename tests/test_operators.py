@@ -74,12 +74,13 @@ def test_sets_and_sinks(spark, tmp_path):
         O.union_strict(a, a, ["k"])
     with pytest.raises(ValueError, match="differ"):
         O.union_strict(a, a.drop("v"), ["k"])
-    path = f"{tmp_path}/t"
-    assert T.upsert_months(a, path, "day", ["k"]) == 1
+    root, order = f"{tmp_path}/t", [F.col("v")]
+    done = T.upsert_months(a, root, "x", ["k"], order, "day")
+    assert done.skipped == 1 and done.rows == {"202001": 1, "202002": 1} and not done.replaced
     for _ in range(2):
-        T.upsert_months(a.where("k = 2").withColumn("v", F.lit("b")), path, "day", ["k"])
-    assert T.months(spark, path) == ["202001", "202002"]
-    assert spark.read.parquet(f"{path}/202002").first().v == "b" and spark.read.parquet(f"{path}/202001").count() == 1
+        T.upsert_months(a.where("k = 2").withColumn("v", F.lit("b")), root, "x", ["k"], order, "day")
+    assert T.months(spark, root) == ["202001", "202002"]
+    assert spark.read.parquet(f"{root}/202002/x.parquet").first().v == "b" and spark.read.parquet(f"{root}/202001/x.parquet").count() == 1
     assert [r.null_rate for r in Q.null_rates(a, ["k", "no"]).collect()] == [0.0, 1.0]
     with pytest.raises(Exception, match="whole number"):
         O.conform(spark.createDataFrame([(1.5,)], "n double"), {"n": "bigint"}).collect()
