@@ -30,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_key(name: str = "doc_id") -> Column:
-    """The id as a key that is never null."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID).cast("long"))
+    """A whole-number id as a key that is never null. An id that is no whole number fails, named: these operators order rows by it."""
+    c = F.col(f"`{name}`")
+    key = c.try_cast("long")
+    checked = F.when(c.isNotNull() & key.isNull(), F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c.cast("string"))).cast("long")).otherwise(key)
+    return F.coalesce(checked, F.lit(NULL_ID).cast("long"))
 
 
 def id_of(key: str | Column) -> Column:
@@ -40,13 +43,27 @@ def id_of(key: str | Column) -> Column:
     return F.when(key != F.lit(NULL_ID), key)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The ``names``, each lengthened until no column bears it, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It is set here only where the session names none."""
+    """The folder that all executors share. Where the session names none, a temporary one serves on a local master alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             return chosen.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="furlong-")
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -11,18 +11,23 @@ branch of more than ``NODE`` documents branches again, on two coordinates that i
 1 - (1 - s) ** 2, so at 0.8 ten trees miss 2e-7 of the pairs at the root and about 4e-6 at four more levels. Small branches
 are compared exhaustively by sketch (what differs in over 29 of 64 bytes, or by a quarter in size, is no candidate:
 0.8 falls below that with probability 4e-6). A branch that hardly shrinks holds near copies: it is dealt in random blocks,
-compared inside. That links nearly all of it, and then what is not yet in its largest component (the rest) is compared with
-the whole branch, block by block, so no bound on a branch drops a pair, and only what does not link costs more than its size.
+compared inside. That links nearly all of true copies, and then what is not yet in its largest component (the rest) is compared
+with the whole branch, block by block, where that takes ``REST_PAIRS`` comparisons at most. Where it takes more, as for
+pages that share a template, the branch's documents branch once more, on their rarest tokens (see ``_rare``): a pair that is similar enough
+shares one of those for certain, and pages with a fifth of their own no longer meet at all. So no bound on a branch drops a pair.
+Only documents that share between 80 and 89 % of their tokens with a whole crowd (a similarity of 0.67 to 0.8) cost more than their number.
 
 Candidates form groups. A group of at most ``GROUP`` sets meets once, with its whole texts; a larger one meets in the parts
-that the branches found. There links are confirmed on full sets, and only edges that connect more than
-before come out, so no task and no table holds all pairs of a group. Components are found by star steps.
+that the branches found. There links are confirmed on full sets, by intersections that are counted for all sets of a part together, and
+only edges that connect more than before come out, so no task and no table holds all pairs of a group. A part holds
+``GROUP_SHINGLES`` shingles at most beyond its longest document. Components are found by star steps.
 
 Shuffled: 24 bytes a document and tree; sketches of documents in branches of two or more; texts of the documents
 (once, to meet their candidates).
 
 Defined results: texts without words (or null) have no shingles, are linked with nothing, and are their own component;
-equal ids are told apart by their sets; null ids sort before others, a component whose smallest id is null is null.
+equal ids are told apart by their sets; null ids sort before others, a component whose smallest id is null is null; an id that is no
+whole number fails; further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -35,14 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.common import NULL_ID, WordHash, id_key, id_of, mix, table, written
+from furlong.llm.common import NULL_ID, WordHash, drop_written, id_key, id_of, mix, table, unused, written
 from furlong.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
 TREES, SKETCH, NODE, GROUP, DEPTH = 10, 64, 512, 1000, 6
-#: Documents of a block in which what a branch of near copies has not linked meets the branch.
-REST = 2048
-#: Sketch bytes that must agree, of SKETCH; and shingles that a group may hold in all.
+#: Documents of a block in which what a branch of near copies has not linked meets the branch; pairs that a branch may compare so.
+REST, REST_PAIRS = 2048, 1 << 24
+#: Sketch bytes that must agree, of SKETCH; and shingles that a group, a small branch or a block may hold in all.
 AGREE, GROUP_SHINGLES = 35, 8_000_000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -111,54 +116,65 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     names=["_k", "_x", "n", "sig", "roots", "sketch"],
                 )
 
-    return docs.select(id_key(id_col).alias("_k"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_x")).mapInArrow(run, "_k long, _x long, n long, sig binary, roots array<long>, sketch binary")
+    return docs.select(id_key(id_col).alias("_k"), F.col(f"`{text_col}`").alias("_t"), F.xxhash64(f"`{text_col}`").alias("_x")).mapInArrow(run, "_k long, _x long, n long, sig binary, roots array<long>, sketch binary")
 
 
 def _node(kind: str, *cols) -> Column:
     return F.xxhash64("node", F.lit(kind), *cols).alias("node")
 
 
-def _branches(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, sig) of the branches that are compared exhaustively, and of those of near copies that are too large for it."""
-    nodes = sets.select("sig", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "sig")
-    out, stuck = None, None
+def _branches(sets: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(node, sig) of the branches that are compared exhaustively, and (node, sig, n, c, all) of those of near copies that are too large for it."""
+    nodes = sets.select("sig", "n", F.posexplode("roots").alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "sig", "n")
+    out, stuck, kept = None, None, []
     for depth in range(DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        met = written(nodes.join(sizes, "node").select("node", "sig", "c"))
-        small = met.where(F.col("c") <= NODE).select("node", "sig")
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
+        met = written(nodes.join(sizes, "node").select("node", "sig", "n", "c", "all"))
+        kept.append(met)
+        is_small = (F.col("c") <= NODE) & (F.col("all") <= GROUP_SHINGLES)
+        small = met.where(is_small).select("node", "sig")
         out = small if out is None else out.unionByName(small)
-        large = met.where(F.col("c") > NODE)
+        large = met.where(~is_small)
         if large.isEmpty():
             break
         own = large
         if depth < DEPTH:
             first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(SKETCH)).cast("int")
             second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit("second")), F.lit(SKETCH - 1)), F.lit(SKETCH)).cast("int")
-            both = large.join(sets.select("sig", "sketch"), "sig").select("sig", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
-            split = written(both.select("sig", "node", "c", F.xxhash64("node", "j", F.expr("substring(sketch, j + 1, 1)")).alias("child")))
+            both = large.join(sets.select("sig", "sketch"), "sig").select("sig", "n", "node", "c", "sketch", F.explode(F.array(first, second)).alias("j"))
+            split = written(both.select("sig", "n", "node", "c", F.xxhash64("node", "j", F.expr("substring(sketch, j + 1, 1)")).alias("child")))
+            kept.append(split)
             # a branch whose child keeps half of it holds near copies: further branches would only repeat it
-            copies = split.groupBy("node", "child").agg(F.count("*").alias("n"), F.first("c").alias("c")).where("2 * n >= c").select("node").distinct()
+            copies = split.groupBy("node", "child").agg(F.count("*").alias("m"), F.first("c").alias("c")).where("2 * m >= c").select("node").distinct()
             own = large.join(copies, "node", "left_semi")
-            nodes = split.join(copies, "node", "left_anti").select(F.col("child").alias("node"), "sig")
+            nodes = split.join(copies, "node", "left_anti").select(F.col("child").alias("node"), "sig", "n")
         stuck = own if stuck is None else stuck.unionByName(own)
         if depth == DEPTH:
             break
-    return out, None if stuck is None or stuck.isEmpty() else stuck
+    return out, None if stuck is None or stuck.isEmpty() else stuck, kept
 
 
 def _block(n: Column) -> Column:
     return F.pmod(F.xxhash64("sig", "node"), n).cast("int")
 
 
-def _dealt(count: Column, size: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(count / F.lit(size))).cast("int")
+def _dealt(count: Column, shingles_: Column, size: int) -> Column:
+    """Blocks for so many documents, with so many shingles in all, of which a pair of blocks must fit a worker."""
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(size)), F.ceil(shingles_ / F.lit(GROUP_SHINGLES // 2))).cast("int")
 
 
-def _rest(stuck: DataFrame, linked: DataFrame) -> DataFrame:
+def _per_node(rows: DataFrame) -> DataFrame:
+    """(node, main, and documents and shingles of the main component and of the rest), where there is a rest; from (node, sig, n, root)."""
+    sizes = rows.groupBy("node", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    per = sizes.groupBy("node").agg(F.max(F.struct("c", "w", "root")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    top = F.col("top")
+    out = per.select("node", top["root"].alias("main"), top["c"].alias("mc"), top["w"].alias("mw"), (F.col("c") - top["c"]).alias("rc"), (F.col("w") - top["w"]).alias("rw"))
+    return out.where("rc > 0")
+
+
+def _rest(rows: DataFrame, per: DataFrame) -> DataFrame:
     """(node, sig, root): blocks in which what is outside of the largest component of a branch meets the whole branch."""
-    rows = written(stuck.join(linked.select(F.col("node").alias("sig"), "root"), "sig", "left").select("node", "sig", F.coalesce("root", "sig").alias("root")))
-    sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    per = sizes.select("node", F.col("top")["root"].alias("main"), _dealt(F.col("top")["n"], REST).alias("mains"), (F.col("all") - F.col("top")["n"]).alias("r")).where("r > 0").withColumn("rests", _dealt(F.col("r"), REST))
+    per = per.select("node", "main", _dealt(F.col("mc"), F.col("mw"), REST).alias("mains"), _dealt(F.col("rc"), F.col("rw"), REST).alias("rests"))
     both = rows.join(per, "node").select("node", "sig", "root", (F.col("root") == F.col("main")).alias("is_main"), "mains", "rests")
     main = both.where("is_main").select("node", "sig", "root", _block(F.col("mains")).alias("b"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("o"))
     rest = both.where(~F.col("is_main")).withColumn("b", _block(F.col("rests")))
@@ -167,6 +183,35 @@ def _rest(stuck: DataFrame, linked: DataFrame) -> DataFrame:
     return main.select(_node("across", "b", "o"), "sig", "root").unionByName(across.select(_node("across", "o", "b"), "sig", "root")).unionByName(among.select(_node("among", F.least("b", "o"), F.greatest("b", "o")), "sig", "root"))
 
 
+def _rare(pool: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, sig, n, root): branches on the rarest tokens of documents that minwise tokens do not part, from (sig, n, root).
+
+    Two sets that are similar enough share one of the rarest tokens of each, as many as the other set may lack and one more;
+    any order of the tokens will do if it is the same for all. Tokens of one document alone branch nothing. So pages that share
+    a template part by what is their own, and only what has too little of its own meets the rest of its kind.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = shingles(batch.column(1)[i].as_py(), k, words).view(np.int64)
+                for at in range(0, len(own), 100_000):
+                    part = own[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.binary()), pa.array(part)], names=["sig", "token"])
+
+    tokens = written(pool.select("sig").join(texts, "sig").select("sig", "_t").mapInArrow(run, "sig binary, token long").distinct())
+    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    met = tokens.join(shared, "token").groupBy("sig").agg(F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("m", "token"))).alias("own"))
+    # of the n tokens the n - s of one document come first in the order; what is left of the prefix are the rarest shared ones
+    prefix = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - (F.col("n") - F.col("s"))
+    rows = pool.join(met, "sig").where(prefix > 0).select("sig", "n", "root", F.explode(F.slice("own", F.lit(1), prefix.cast("int"))).alias("x")).select(F.col("x")["token"].alias("node"), "sig", "n", "root")
+    # tokens that always come together make one branch, and branches of one component nothing new
+    alike_ = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("c > 1 and lo <> hi")
+    one = alike_.groupBy("c", "h").agg(F.min("node").alias("node")).select("node")
+    return rows.join(one, "node")
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole groups, from rows sorted by their first column."""
     held: list[pa.RecordBatch] = []
@@ -237,38 +282,76 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "part binary, root binary, sig binary").distinct()
 
 
+def _both(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, sizes of the intersections of set i with sets i + 1..) of each i, for consumers that may skip some by sending nothing."""
+    n = len(sets)
+    flat, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = count[at] > 1
+    row, at = row[shared], np.unique(at[shared], return_inverse=True)[1]
+    wide = int(at.max()) + 1 if len(at) else 0
+    if n * wide <= 50 * len(row) or n * n * wide <= 4_000_000_000:
+        # products of dense blocks of columns: the tokens in common are few or common to many
+        out = np.zeros((n, n), np.float32)
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        for lo in range(0, wide, 4096):
+            a, b = np.searchsorted(at, (lo, min(wide, lo + 4096)))
+            block = np.zeros((n, min(4096, wide - lo)), np.float32)
+            block[row[a:b], at[a:b] - lo] = 1
+            out += block @ block.T
+        for i in range(n):
+            yield i, out[i, i + 1 :].astype(np.int64)
+        return
+    ends = np.searchsorted(row, np.arange(n + 1))
+    mark = np.zeros(wide, bool)
+    for i in range(n):
+        own = at[ends[i] : ends[i + 1]]
+        mark[own] = True
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(mark[at[ends[i + 1] :]])])
+        yield i, np.diff(total[ends[i + 1 :] - ends[i + 1]])
+        mark[own] = False
+
+
 def link(members: list[tuple[bytes, np.ndarray, np.ndarray]], percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
-    """Edges that connect what is linked among (sig, sketch, set): each pair that may be similar is confirmed on its full
-    sets, unless other links connect it already. Likelier pairs come first, so that is the usual case."""
+    """Edges that connect what is linked among (sig, sketch, set), by the sizes of the intersections of the full sets.
+
+    Two sets that are near copies of a third are usually connected through it, so sets are first compared with the largest group's first one.
+    """
     n = len(members)
-    size = np.array([len(s) for _, _, s in members])
-    sketch = np.stack([x for _, x, _ in members])
     union, edges = _Union(n), []
-    pairs: list[list[np.ndarray]] = [[], [], []]
-    for i in range(n - 1):
-        j = i + 1 + np.flatnonzero(100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
-        same = (sketch[j] == sketch[i]).sum(1)
-        j, same = j[same >= AGREE], same[same >= AGREE]
-        for own, x in zip(pairs, (np.full(len(j), i), j, same), strict=True):
-            own.append(x)
     if n < 2:
         return edges
-    a, b, same = (np.concatenate(x) for x in pairs)
-    for k in np.argsort(-same, kind="stable").tolist():
-        i, j = int(a[k]), int(b[k])
-        if union.root(i) == union.root(j):
-            continue
-        x, y = members[i][2], members[j][2]
-        at = np.minimum(y.searchsorted(x), len(y) - 1)
-        both = int((y[at] == x).sum())
-        if 100 * both >= percent * (len(x) + len(y) - both):
+    sets = [s for _, _, s in members]
+    size = np.array([len(s) for s in sets])
+    # near copies of the first set and of each following one that is left connect at once
+    left = np.arange(n)
+    while len(left) > 64:
+        i, left = int(left[0]), left[1:]
+        both = np.array([_common(sets[i], sets[j]) for j in left.tolist()])
+        hit = 100 * both >= percent * (size[i] + size[left] - both)
+        for j in left[hit].tolist():
             union.join(i, j)
+        if 4 * hit.sum() < len(left):
+            break
+        left = left[~hit]
+    roots = np.array([union.root(i) for i in range(n)])
+    if len(np.unique(roots)) > 1:
+        for i, both in _both(sets):
+            j = i + 1 + np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1 :] - both))
+            for x in j.tolist():
+                union.join(i, x)
     for i in range(n):
         if (r := union.root(i)) != i:
             edges.append((members[r][0], members[i][0]))
     return edges
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.minimum(y.searchsorted(x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
 def _confirmed(groups: DataFrame, k: int) -> DataFrame:
     """(a, b): confirmed edges, from (group, sig, sketch, text)."""
 
@@ -306,9 +389,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal sketches
     sets = written(rows.where("n > 0").groupBy("sig").agg(F.min("_k").alias("label"), first("n"), first("roots"), first("sketch")))
     sketched = sets.select("sig", "n", "sketch")
-    nodes, stuck = _branches(sets.select("sig", "roots", "sketch"))
+    nodes, stuck, kept = _branches(sets.select("sig", "n", "roots", "sketch"))
     if stuck is not None:
-        nodes = nodes.unionByName(stuck.select(_node("block", _block(_dealt(F.col("c"), NODE // 2))), "sig"))
+        nodes = nodes.unionByName(stuck.select(_node("block", _block(_dealt(F.col("c"), F.col("all"), NODE // 2))), "sig"))
     parts = written(_candidates(nodes.join(sketched, "sig").select("node", "sig", "n", "sketch")))
     of = components(parts.select(F.col("root").alias("a"), F.col("sig").alias("b")))
     sized = of.join(sets.select(F.col("sig").alias("node"), "n"), "node")
@@ -318,15 +401,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the texts that any group may need meet their signatures once
     needed = of.select("sig") if stuck is None else of.select("sig").unionByName(stuck.select("sig")).distinct()
     wanted = needed.join(sets.select("sig", F.col("label").alias("_k"), "sketch"), "sig")
-    texts = docs.select(id_key(id_col).alias("_k"), F.col(text_col).alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
+    texts = docs.select(id_key(id_col).alias("_k"), F.col(f"`{text_col}`").alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
     if stuck is None:
         linked = components(_confirmed(members.join(texts, "sig"), k))
+        drop_written(*kept)
     else:
         texts = written(texts)
         edges = written(_confirmed(members.join(texts, "sig"), k))
-        again = _rest(stuck, components(edges)).join(sketched, "sig").select("node", "sig", "n", "sketch", F.xxhash64("root").alias("r"))
-        parts = written(_candidates(again)).select(F.col("part").alias("g"), "sig")
-        linked = components(edges.unionByName(written(_confirmed(parts.join(texts, "sig"), k))))
+        so_far = components(edges).select(F.col("node").alias("sig"), "root")
+        left = written(stuck.select("node", "sig", "n").join(so_far, "sig", "left").select("node", "sig", "n", F.coalesce("root", "sig").alias("root")))
+        drop_written(*kept)
+        per = written(_per_node(left))
+        heavy = F.col("rc") * (F.col("rc") + F.col("mc")) > REST_PAIRS
+        again = _rest(left, per.where(~heavy))
+        if not (many := per.where(heavy).select("node")).isEmpty():
+            # a document of such a branch may lie in several: from here on it is dealt by its own tokens, once
+            pool = written(left.join(many, "node").select("sig", "n", "root").distinct())
+            rare = written(_rare(pool, texts, k))
+            again = again.unionByName(_rest(rare, _per_node(rare)))
+        again = again.join(sketched, "sig").select("node", "sig", "n", "sketch", F.xxhash64("root").alias("r"))
+        more = written(_candidates(again)).select(F.col("part").alias("g"), "sig")
+        linked = components(edges.unionByName(written(_confirmed(more.join(texts, "sig"), k))))
     own = linked.join(sets.select(F.col("sig").alias("node"), "label"), "node")
     least = own.groupBy("root").agg(F.min("label").alias("component"))
     label = own.join(least, "root").select(F.col("node").alias("sig"), "component")
@@ -335,9 +430,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: the rows of its smallest id stay."""
-    gone = near_duplicates(docs, id_col, text_col, k).where(F.col("_k") != F.col("component")).select("_k", "_x").distinct()
-    return docs.join(gone, (id_key(id_col) == F.col("_k")) & (F.xxhash64(text_col) == F.col("_x")), "left_anti")
+    """``docs`` with one document of each group: the rows of its smallest id stay. Columns of any name stay as they are."""
+    key, hashed = unused(docs.columns, "_k", "_x")
+    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, k).where(F.col("_k") != F.col("component")).select(F.col("_k").alias(key), F.col("_x").alias(hashed)).distinct()
+    return docs.join(gone, (id_key(id_col) == F.col(key)) & (F.xxhash64(f"`{text_col}`") == F.col(hashed)), "left_anti")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
