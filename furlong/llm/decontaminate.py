@@ -7,16 +7,16 @@ meet windows on those prefix shingles, length and positional bounds (the window
 the document at the offset of the shingle) drop what cannot match, and every candidate is
 verified word by word.
 
-The benchmark is dealt into blocks of ``BLOCK_BYTES`` at most by a size that is measured first;
-each block is broadcast and all documents pass it: no shuffle of documents. Only the spans of
-documents that are hit are grouped if there is more than one block. An item larger than a block is
-cut into runs that overlap by a window less one word, which are dealt as items of the same id: no
-window is lost, and none is made that the item does not have.
+The size of the benchmark is measured first. Up to ``BLOCK_BYTES`` its windows are broadcast, and all documents pass
+them: two reads of the documents, no shuffle. Beyond, windows and documents meet in Spark joins, on the hash of the prefix
+shingle (see ``_joined``): four reads of the documents, whatever the size. What is broadcast then are counts of hashed
+shingles and a bitmap of the prefixes, both of a fixed size. Rarity comes from those counts; it decides what a candidate costs, not
+what is found.
 
 Words: A-Z lower-cased, then runs of bytes that are 0-9, a-z or beyond ASCII. Defined results:
 null or wordless texts have no words and are not contaminated; items without words have no
-window; items of fewer than ``window`` words are one window; repeated rows each get a row;
-null item ids mark words but are not listed.
+window; items of fewer than ``window`` words are one window, items of any length are whole; repeated rows each get a row;
+null item ids mark words but are not listed; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -25,12 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.common import table
+from furlong.llm.common import WordHash, mix, table, unused, written
 
 WINDOW, SHINGLE, BLOCK_BYTES = 13, 3, 4 << 20
+#: Bits of the hash that counts of shingles and the bitmap of prefixes go by.
+COUNT_BITS, MAP_BITS = 16, 26
+_U = np.uint64
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -134,45 +138,6 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def runs_of(text: str, window: int, most: int) -> Iterator[str]:
-    """The words of ``text`` in runs of about ``most`` bytes, longer only where a single window is; each window is in one."""
-    ws = words_of(text)
-    at = 0
-    while at < len(ws):
-        end, size = at, 0
-        while end < len(ws) and (end - at < window or size + len(ws[end]) < most):
-            size += len(ws[end]) + 1
-            end += 1
-        yield b" ".join(ws[at:end]).decode()
-        if end == len(ws):
-            return
-        at = end - window + 1
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[list]:
-    """The items block by block, each of which is small enough to collect and broadcast."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    total, most = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
-    if most > block_bytes:
-        # runs of a quarter of a block, so that blocks can be filled evenly
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                long = [k for k, t in enumerate(batch.column(1).to_pylist()) if len(t.encode()) > block_bytes]
-                yield batch.filter(pa.array(np.isin(np.arange(batch.num_rows), long, invert=True)))
-                for k in long:
-                    for t in runs_of(batch.column(1)[k].as_py(), window, block_bytes // 4):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([t], batch.schema.field(1).type)], schema=batch.schema)
-
-        items = items.mapInArrow(run, items.schema)
-        total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = 1 if total <= block_bytes else -(-4 * total // block_bytes)
-    for b in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        if n > 1 and own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] > block_bytes:
-            own = own.distinct()
-        yield [(r.i, r.t) for r in own.collect()]
-
-
 def _counted(texts: DataFrame, sent) -> dict[tuple[int, int], int]:
     """How often each shingle of the block occurs in all documents; summed before it is sent."""
 
@@ -220,38 +185,179 @@ def covered(spans: Column) -> Column:
     )
 
 
+def _hashes(h: np.ndarray, s: int) -> np.ndarray:
+    """One number for each s-word shingle of word hashes."""
+    n = len(h) - s + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.full(n, s, np.uint64)
+    for j in range(s):
+        out = mix(out * _U(0x9E3779B97F4A7C15) + h[j : n + j])
+    return out.view(np.int64)
+
+
+def _digest(raw: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(raw)
+    return (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, words, item) of each window of each item."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                item, ws = batch.column(0)[k].as_py(), words_of(batch.column(1)[k].as_py())
+                for lo in range(0, max(1, len(ws) - window + 1) if ws else 0, 20_000):
+                    raw = [b" ".join(ws[i : i + window]) for i in range(lo, min(lo + 20_000, max(1, len(ws) - window + 1)))]
+                    a, b = zip(*map(_digest, raw), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(raw, pa.binary()), pa.array([item] * len(raw), pa.string())], schema=schema)
+
+    return items.mapInArrow(run, "w1 long, w2 long, words binary, item string")
+
+
+def _shingle_counts(texts: DataFrame, sizes: list[int]) -> np.ndarray:
+    """How often shingles of the documents fall on each value of ``COUNT_BITS`` bits of their hash."""
+    mask = (1 << COUNT_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = WordHash(), np.zeros(mask + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                h = words.of(words_of(text.as_py()))
+                for s in sizes:
+                    total += np.bincount(_hashes(h, s) & mask, minlength=mask + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(mask + 1)), pa.array(total)], names=["at", "n"])
+
+    out = np.zeros(mask + 1, np.int64)
+    for r in texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def _prefixes(windows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, off, w1, w2, words): each window with its rarest shingle and the shingle's offset."""
+    mask = (1 << COUNT_BITS) - 1
+    sent = windows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = WordHash(), sent.value
+        for batch in batches:
+            keys, offs = [], []
+            for raw in batch.column(2):
+                ws = raw.as_py().split()
+                h = _hashes(words.of(ws), min(SHINGLE, len(ws)))
+                off = int(np.argmin(own[h & mask]))
+                keys.append(int(h[off]))
+                offs.append(off)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(offs, pa.int32()), *batch.columns], names=["key", "off", "w1", "w2", "words"])
+
+    return windows.mapInArrow(run, "key long, off int, w1 long, w2 long, words binary")
+
+
+def _bitmap(prefixes: DataFrame) -> np.ndarray:
+    """``MAP_BITS`` bits of the prefixes' hashes, as a bitmap; false hits only cost a row."""
+    at = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    rows = prefixes.select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def _meeting(texts: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(key, t1, t2, pos) of each shingle of the documents that may be a prefix; equal texts are one."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    mask = (1 << MAP_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own = WordHash(), sent.value
+        for batch in batches:
+            for text in batch.column(0):
+                raw = text.as_py()
+                h = words.of(words_of(raw))
+                for s in sizes:
+                    key = _hashes(h, s)
+                    at = np.flatnonzero((own[(key & mask) >> 6] >> (key & 63)) & 1)
+                    if len(at):
+                        a, b = _digest(raw.encode())
+                        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.full(len(at), a)), pa.array(np.full(len(at), b)), pa.array(at.astype(np.int32))], names=["key", "t1", "t2", "pos"])
+
+    return texts.mapInArrow(run, "key long, t1 long, t2 long, pos int").distinct()
+
+
+def _digests(texts: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """``texts`` with the two halves of the hash of their text; null texts have none."""
+    where, columns = texts.columns.index(text_col), texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_digest(t.encode()) if (t := x.as_py()) is not None else (None, None) for x in batch.column(where)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([b[i] for b in both], pa.int64()) for i in (0, 1))], names=[*columns, *names])
+
+    return texts.mapInArrow(run, texts.withColumns({n: F.lit(None).cast("long") for n in names}).schema)
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    """(t1, t2, a, b, w1, w2) of the candidates that are in the text word by word, from (t1, t2, text, own: array of (start, words, w1, w2))."""
+    names = ["t1", "t2", "a", "b", "w1", "w2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t1, t2, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ws = words_of(text)
+                for c in own:
+                    w, a = c["words"].split(), c["start"]
+                    if a >= 0 and ws[a : a + len(w)] == w:
+                        found.append((t1, t2, a, a + len(w), c["w1"], c["w2"]))
+            cols = list(zip(*found, strict=True)) if found else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, out_col: str) -> DataFrame:
+    """``docs`` with what they have of a benchmark of any size: windows and documents meet on their prefix shingles."""
+    spark = docs.sparkSession
+    every = written(_item_windows(items, window))
+    distinct = every.groupBy("w1", "w2").agg(F.first("words").alias("words"))
+    longest = every.agg(F.max(F.size(F.split(F.decode("words", "UTF-8"), " "))).alias("n"), F.min(F.size(F.split(F.decode("words", "UTF-8"), " "))).alias("m")).first()
+    # windows are whole items where those are short: only then are there shingles of fewer words
+    sizes = [s for s in range(1, SHINGLE + 1) if longest["n"] and (s == SHINGLE and longest["n"] >= SHINGLE or s < SHINGLE and longest["m"] <= s)]
+    texts = docs.select(F.col(f"`{text_col}`").alias("t")).where("t is not null")
+    windows = written(_prefixes(distinct, _shingle_counts(texts, sizes)))
+    met = _meeting(texts, _bitmap(windows), sizes).join(windows, "key")
+    near = met.select("t1", "t2", F.struct((F.col("pos") - F.col("off")).alias("start"), "words", "w1", "w2").alias("c")).where("c.start >= 0")
+    own = near.groupBy("t1", "t2").agg(F.collect_set("c").alias("own"))
+    dated = _digests(texts, "t", ["t1", "t2"])
+    hits = written(_verified(dated.join(own, ["t1", "t2"]).select("t1", "t2", "t", "own")).distinct())
+    spans = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    listed = hits.select("t1", "t2", "w1", "w2").join(every.where("item is not null").select("w1", "w2", "item").distinct(), ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_set("item").alias("items"))
+    t1, t2, s, i = unused([*docs.columns, out_col], "_t1", "_t2", "_spans", "_items")
+    counted = _scanned(docs, text_col, spark.sparkContext.broadcast(Windows([], window)), out_col)
+    both = spans.join(listed, ["t1", "t2"], "left").select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(s), F.col("items").alias(i))
+    out = _digests(counted, text_col, [t1, t2]).join(both, [t1, t2], "left")
+    none = F.col(f"`{out_col}`")
+    return out.withColumn(out_col, F.struct(none["n_words"].alias("n_words"), F.coalesce(s, none["spans"]).alias("spans"), F.coalesce(i, none["items"]).alias("items"))).select(*[F.col(f"`{c}`") for c in counted.columns])
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out_col: str = "contamination",
 ) -> DataFrame:
     """``docs`` with a struct ``out_col``: n_words, the spans and items that hit, n_hit and contaminated."""
-    docs = docs.select(*[c for c in docs.columns if c != out_col])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out_col.lower()])
     spark = docs.sparkSession
-    parts = []
-    for items in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        w = Windows(items, window)
-        if not parts or len(w.size):
-            sent = spark.sparkContext.broadcast(w)
-            w.choose(_counted(docs.select(text_col), sent) if len(w.size) else {})
-            sent = spark.sparkContext.broadcast(w)
-            parts.append(sent)
-    if len(parts) == 1:
-        out = _scanned(docs, text_col, parts[0], out_col)
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where(F.col("t").isNotNull())
+    if items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] <= block_bytes:
+        w = Windows([(r.i, r.t) for r in items.collect()], window)
+        sent = spark.sparkContext.broadcast(w)
+        w.choose(_counted(docs.select(text_col), sent) if len(w.size) else {})
+        out = _scanned(docs, text_col, spark.sparkContext.broadcast(w), out_col)
     else:
-        # what each block finds is keyed by the text itself, so that equal texts share one result
-        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-        found = [_scanned(docs.select(text_col), text_col, p, "_c").where(F.size("_c.spans") > 0).select(key.alias("_key"), "_c") for p in parts]
-        all_found = found[0]
-        for f in found[1:]:
-            all_found = all_found.unionByName(f)
-        merged = all_found.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("_c.spans"))).alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_c.items"))).alias("_items"))
-        counted = _scanned(docs, text_col, spark.sparkContext.broadcast(Windows([], window)), out_col)
-        out = counted.withColumn("_key", key).join(merged, "_key", "left")
-        none = out[out_col]
-        out = out.withColumn(out_col, F.struct(
-            none["n_words"].alias("n_words"), F.coalesce(F.col("_spans"), none["spans"]).alias("spans"), F.coalesce(F.col("_items"), none["items"]).alias("items")
-        )).select(*counted.columns)
-    c = F.col(out_col)
+        out = _joined(docs, items, text_col, window, out_col)
+    c = F.col(f"`{out_col}`")
     out = out.withColumn(out_col, F.struct(c["n_words"].alias("n_words"), c["spans"].alias("spans"), F.array_sort(c["items"]).alias("items"), covered(c["spans"]).alias("n_hit")))
     return out.withColumn(out_col, c.withField("contaminated", (c["n_hit"] > 0) & (20 * c["n_hit"] >= c["n_words"])))
 

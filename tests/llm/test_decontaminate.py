@@ -54,13 +54,3 @@ def test_item_larger_than_a_block(spark):
     for r in D.contamination(d, b, window=4, block_bytes=400).collect():
         c = r.contamination
         assert (c.n_words, c.n_hit, list(c["items"])) == brute(r.text, items, 4)
-
-
-def test_runs_keep_every_window():
-    rng = random.Random(7)
-    for n in (0, 1, 3, 4, 5, 40, 200):
-        ws = ["x" * rng.choice([1, 2, 9, 70]) + str(i) for i in range(n)]
-        for most in (1, 30, 10_000):
-            runs = [r.split() for r in D.runs_of(" ".join(ws), 4, most)]
-            wins = lambda x: {tuple(x[k : k + min(4, len(x))]) for k in range(max(1, len(x) - 3)) if x}
-            assert set().union(*map(wins, runs)) == wins(ws)
