@@ -151,10 +151,26 @@ def combined(kmer: np.ndarray, finer: np.ndarray, k: np.ndarray, start: np.ndarr
     return order, done, np.where(done, mix(k.view(np.uint64) + start.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).view(np.int64), kmer)
 
 
-def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """``docs`` with the keys _k and _h, and the keys that tell documents apart: _h (of the text) only where ids repeat."""
-    twice = not docs.groupBy(id_key(id_col).alias("_k")).count().where("count > 1").isEmpty()
-    return docs.withColumns({"_k": id_key(id_col), "_h": F.xxhash64(text_col) if twice else F.lit(0).cast("long")}), ["_k", "_h"] if twice else ["_k"]
+class Keyed:
+    """Documents with the key of their id and a hash of their text, in columns that bear no name of theirs.
+
+    ``keys`` tell documents apart: the hash is one of them only where ids repeat. ``slim`` has (_t, _k, _h) alone.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.k, self.h = unused(docs.columns, "_k", "_h")
+        key, text = id_key(id_col), F.col(f"`{text_col}`")
+        twice = not docs.groupBy(key.alias("_k")).count().where("count > 1").isEmpty()
+        hashed = F.xxhash64(text) if twice else F.lit(0).cast("long")
+        self.docs = docs.withColumns({self.k: key, self.h: hashed})
+        self.keys = ["_k", "_h"] if twice else ["_k"]
+        self.slim = docs.select(text.alias("_t"), key.alias("_k"), hashed.alias("_h"))
+
+    def with_spans(self, spans: DataFrame, name: str) -> DataFrame:
+        """The documents with the spans of their keys in a column ``name``."""
+        own = {"_k": self.k, "_h": self.h}
+        named = spans.select(*[F.col(c).alias(own[c]) for c in self.keys], F.col("spans").alias(name))
+        return self.docs.join(named, [own[c] for c in self.keys], "left")
 
 
 def span(start: Column, n: Column) -> Column:

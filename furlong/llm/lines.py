@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import combined, id_key, id_of, keyed_documents, span, table
+from furlong.llm.common import Keyed, combined, id_key, id_of, span, table, unused
 
 WINDOW = 3
 _BLANK = " \t\r\f\x0b"
@@ -40,7 +40,7 @@ def windows(text: str | None, size: int = WINDOW) -> list[tuple[int, int, int]]:
     return [(xxhash.xxh3_128_intdigest("\n".join([t for _, t in own[i : i + size]])), own[i][0], own[i + size - 1][0] + 1) for i in range(len(own) - size + 1)]
 
 
-def _windows(keyed: DataFrame, text_col: str, size: int) -> DataFrame:
+def _windows(slim: DataFrame, size: int) -> DataFrame:
     names = ["_k", "_h", "w1", "w2", "a", "n", "done"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def _windows(keyed: DataFrame, text_col: str, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (k[order], h[order], w1, w2.view(np.int64)[order], a[order].astype(np.int32), n[order].astype(np.int32), done)], names=names)
 
         for batch in batches:
-            for k, h, text in zip(*batch.columns, strict=True):
+            for text, k, h in zip(*batch.columns, strict=True):
                 k, h = k.as_py(), h.as_py()
                 held += [(k, h, w >> 64, w & 0xFFFFFFFFFFFFFFFF, a, b - a) for w, a, b in windows(text.as_py(), size)]
                 if len(held) >= _CHUNK:
@@ -61,13 +61,13 @@ def _windows(keyed: DataFrame, text_col: str, size: int) -> DataFrame:
         if held:
             yield flush()
 
-    return keyed.select("_k", "_h", text_col).mapInArrow(run, "_k long, _h long, w1 long, w2 long, a int, n int, done boolean")
+    return slim.mapInArrow(run, "_k long, _h long, w1 long, w2 long, a int, n int, done boolean")
 
 
-def repeated_lines(keyed: DataFrame, keys: list[str], text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(*keys, spans): the line spans (not merged) of repeated windows, from documents with their keys."""
+def repeated_lines(slim: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
+    """(*keys, spans): the line spans (not merged) of repeated windows, from (_t, _k, _h)."""
     first = F.min(F.struct("_k", "a")).over(Window.partitionBy("w1", "w2", "done"))
-    later = _windows(keyed, text_col, size).withColumn("first", first).where(F.col("done") | (F.struct("_k", "a") > F.col("first")))
+    later = _windows(slim, size).withColumn("first", first).where(F.col("done") | (F.struct("_k", "a") > F.col("first")))
     return later.select(*keys, span(F.col("a"), F.col("n")).alias("s")).groupBy(*keys).agg(F.collect_set("s").alias("spans"))
 
 
@@ -86,9 +86,10 @@ def without(text: str | None, spans: list[int]) -> tuple[str | None, int]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, removed_col: str | None = None) -> DataFrame:
     """``docs`` with the lines of repeated windows gone from ``text_col``; ``removed_col`` gets their number."""
-    docs = docs.select(*[c for c in docs.columns if c != removed_col])
-    keyed, keys = keyed_documents(docs, id_col, text_col)
-    both = keyed.join(repeated_lines(keyed, keys, text_col, size), keys, "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != (removed_col or "").lower()])
+    keyed = Keyed(docs, id_col, text_col)
+    name = unused([*docs.columns, keyed.k, keyed.h], "_spans")[0]
+    both = keyed.with_spans(repeated_lines(keyed.slim, keyed.keys, size), name).select(*[F.col(f"`{c}`") for c in docs.columns], name)
     where, names = docs.columns.index(text_col), [*docs.columns, *([removed_col] if removed_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ shuffle, so a passage that a third of all documents share sends one row a chunk
 and go anywhere. So do equal windows of branching runs, which are dealt by their own hash.
 
 Defined results: null text has no words; fewer than ``WINDOW`` words have no window; null ids sort first; rows that share id and text share
-one result; texts that share an id only are ordered by start alone.
+one result; texts that share an id only are ordered by start alone; an id that is no whole number fails; further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import WordHash, chunks, combined, id_key, id_of, keyed_documents, mix, span, table, written
+from furlong.llm.common import Keyed, WordHash, chunks, combined, id_key, id_of, mix, span, table, unused, written
 
 WINDOW, KMER = 20, 6
 _U = np.uint64
@@ -78,13 +78,13 @@ def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(_k, _h, kmer, start, n, run, done) of each text, from (_k, _h, text); done: an equal run of the same chunk comes first."""
+    """(_k, _h, kmer, start, n, run, done) of each text, from (_t, _k, _h); done: an equal run of the same chunk comes first."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for batch in batches:
-            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, raw in chunks(x.as_py() for x in batch.column(2)):
+            k, h = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for first, raw in chunks(x.as_py() for x in batch.column(0)):
                 split = [r.split() for r in raw]
                 lengths = np.array([len(s) for s in split])
                 flat = np.concatenate([words.of(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
@@ -133,18 +133,18 @@ def _windows(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(go, "kmer long, w long, _k long, _h long, start int, done boolean")
 
 
-def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from documents with their keys."""
+def repeated_spans(slim: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from (_t, _k, _h)."""
     # one exchange by k-mer serves all windows below: the finer ones need no other
     whole, equal = Window.partitionBy("kmer", "done"), Window.partitionBy("kmer", "done", "run")
-    met = _runs(keyed.select("_k", "_h", text_col)).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("done or c > 1")
+    met = _runs(slim).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("done or c > 1")
     met = met.withColumn("first", F.min(F.struct("_k", "start")).over(equal))
     later, branches = F.col("done") | (F.struct("_k", "start") > F.col("first")), ~F.col("done") & (F.col("low") != F.col("high"))
     found = written(met.where(later | branches).select(*keys, "start", "n", later.alias("later"), F.when(~later, F.col("kmer")).alias("kmer")))
     plain = found.where("later").select(*keys, span(F.col("start"), F.col("n") + F.lit(WINDOW - 1)).alias("s"))
     # the first run of each kind at a k-mer that branches is read at its source, and each of its windows looks for an earlier start
     sources = found.where("not later").groupBy(*keys).agg(F.collect_set(F.struct("kmer", "start", "n")).alias("runs"))
-    read = keyed.select(text_col, *keys).join(sources, keys).select(text_col, "_k", (F.col("_h") if "_h" in keys else F.lit(0).cast("long")).alias("_h"), "runs")
+    read = slim.select("_t", *keys).join(sources, keys).select("_t", "_k", (F.col("_h") if "_h" in keys else F.lit(0).cast("long")).alias("_h"), "runs")
     first = F.min(F.struct("_k", "start")).over(Window.partitionBy("kmer", "w", "done"))
     each = _windows(read).repartition("kmer", "w").withColumn("first", first)
     branching = each.where(F.col("done") | (F.struct("_k", "start") > F.col("first"))).select(*keys, span(F.col("start"), F.lit(WINDOW)).alias("s"))
@@ -154,12 +154,13 @@ def repeated_spans(keyed: DataFrame, keys: list[str], text_col: str = "text") ->
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "kept_words", counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """``docs`` with the words that stay, joined by one space, in ``out_col``, and the ``counts``."""
     names = [out_col, *counts]
-    docs = docs.select(*[c for c in docs.columns if c not in names])
-    keyed, keys = keyed_documents(docs, id_col, text_col)
-    spans = repeated_spans(keyed, keys, text_col)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in names}])
+    keyed = Keyed(docs, id_col, text_col)
+    spans = repeated_spans(keyed.slim, keyed.keys)
     # an id of this type comes back from its key, so the exchange of ids and texts is the one that the sources used
-    same = {id_col: id_of("_k")} if docs.schema[id_col].dataType.typeName() == "long" else {}
-    both = keyed.join(spans, keys, "left").withColumns(same).select(*docs.columns, F.col("spans").alias("_spans"))
+    same = {id_col: id_of(keyed.k)} if docs.schema[id_col].dataType.typeName() == "long" else {}
+    name = unused([*docs.columns, keyed.k, keyed.h], "_spans")[0]
+    both = keyed.with_spans(spans, name).withColumns(same).select(*[F.col(f"`{c}`") for c in docs.columns], name)
     where, out_names = docs.columns.index(text_col), [*docs.columns, *names]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
