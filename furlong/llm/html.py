@@ -13,8 +13,8 @@ them whatever the input, on the driver; the weights (a few thousand numbers) are
 workers, and extraction is one narrow pass over the rows.
 
 Defined results: null or empty html gives an empty text; so does a page without article blocks;
-tags that never end, end twice or cross are mended as browsers do, roughly; repeated rows each
-get a row.
+tags that never end, end twice or cross are mended as browsers do, roughly, but what follows a player, a
+picture, a form field or the like that never ends is text; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from furlong.llm.common import table
 
 PAGES, STEPS, RATE, RIDGE, SEED = 600, 150, 0.1, 1e-3, 11
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(?:^|[\s"'])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style noscript template title textarea iframe svg math object select datalist canvas audio video xmp noembed noframes".split())
+#: What these hold is never text of the page, even if they do not end; the others of _UNSEEN are passed over where they do not.
+_CODE = frozenset("script style".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _BARS = frozenset("ul ol dl table tbody thead".split())
 #: Words of class, id and role that a feature may carry; others are left out, so the features stay few.
@@ -60,6 +63,60 @@ def _ancestor(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Tags:
+    """The tags of a page from left to right: (start, end, name in lower case, whether it closes, attributes); a comment has no name.
+
+    A tag ends at the first > outside of quotation marks, or, if such a mark never closes, at the first > at all. Time is in
+    proportion to the page, whatever it holds: where no mark or > follows, and which marks led nowhere, is remembered.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()
+        self.gone: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Like str.find; once nothing is found, nothing is searched again behind that place."""
+        if at >= self.gone.get(what, len(self.page) + 1):
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.gone[what] = min(at, self.gone.get(what, at))
+        return k
+
+    def _end(self, at: int) -> int:
+        seen, pos = [], at
+        while (m := _STOP.search(self.page, pos)) is not None:
+            k = m.start()
+            if m[0] == ">":
+                return k + 1
+            if k in self.dead:
+                break
+            seen.append(k)
+            close = self.find(m[0], k + 1)
+            if close < 0:
+                break
+            pos = close + 1
+        self.dead.update(seen)
+        return self.find(">", at) + 1
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i) or page.startswith("<![CDATA[", i):
+                mark = "-->" if page[i + 2] == "-" else "]]>"
+                end = self.find(mark, i + 4)
+                return i, end + 3 if end >= 0 else len(page), "", False, ""
+            if (first := self.find(">", i + 1)) >= 0:
+                if page[i + 1] in "!?":
+                    return i, first + 1, "", False, ""
+                if m := _NAME.match(page, i + 1, first + 1):
+                    end = self._end(m.end())
+                    return i, end, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+            at = i + 1
+        return None
+
+
 def blocks(page: str) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block in page order."""
     found: list[tuple[str, list[str]]] = []
@@ -90,20 +147,19 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
                     inside[f] -= 1
 
     at, end = 0, len(page)
+    tags, unclosed = Tags(page), set()
     while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
+        found_tag = tags.after(at)
+        stop = found_tag[0] if found_tag else end
         if stop > at:
             parts.append(page[at:stop])
             total += stop - at
             linked += (stop - at) if links else 0
-        if not m:
+        if not found_tag:
             break
-        at = m.end()
-        tag = m[2] or m[5]
+        _, at, tag, closing, attrs = found_tag
         if not tag:
             continue
-        tag, closing, attrs = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -112,9 +168,13 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if tag in _VOID:
             continue
         if tag in _UNSEEN:
-            if not closing and not attrs.endswith("/"):
-                last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = last.end() if last else end
+            if not closing and not attrs.endswith("/") and tag not in unclosed:
+                last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                over = tags.find(">", last.end()) + 1 if last else 0
+                if over or tag in _CODE:
+                    at = over or end
+                else:
+                    unclosed.add(tag)  # none ends behind this place: what follows is the page's own text
             continue
         if closing:
             if places.get(tag):

@@ -73,3 +73,39 @@ def test_closing_tags_reach_any_depth():
     # a list inside an item is a bar
     features = {t: f for t, f in H.blocks(f"<ul><li class=main>{'<section>' * 300}<ul><li>One.")}
     assert "hint:main" in features["One."]
+
+
+def test_what_never_ends_hides_nothing():
+    for tag in ("video", "audio", "svg", "math", "object", "canvas", "select", "datalist", "template", "iframe", "noscript", "textarea", "title"):
+        said = [t for t, _ in H.blocks(f"<article><p>One.</p><{tag} class=x><p>Two.</p></article>")]
+        assert said == ["One.", "Two."], tag
+        assert [t for t, _ in H.blocks(f"<p>One.</p><{tag}><p>no</p></{tag} ><p>Two.")] == ["One.", "Two."], tag
+    assert [t for t, _ in H.blocks("<p>One.<script>var x = 1;")] == ["One."]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    n = 1_000_000
+    pieces = ['<a "', "<a '\"", '<a ">" ', "<script ", "<video>", "<div>", "<", "<!", "<p class=", "<!--", "</div>", '<a x="', "<a ''\">", "&amp", "<select><b"]
+    for piece in pieces:
+        page = piece * (n // len(piece)) + "'"
+        began = time.process_time()
+        H.blocks(page)
+        assert time.process_time() - began < 2 * 4, piece  # 2 s, on a machine that may be four times as slow
+
+
+def test_tags_as_a_plain_reader_finds_them():
+    """The tags of random pages, against the rule written as one pattern."""
+    import random
+
+    rng = random.Random(4)
+    rule = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>""", re.S)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", ">", "a", "b ", "/", '"', "'", "=", "!", "--", "x", " "]) for _ in range(rng.randrange(40)))
+        want = [(m.start(), m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or "") for m in rule.finditer(page)]
+        tags, got, at = H.Tags(page), [], 0
+        while (t := tags.after(at)) is not None:
+            got.append(t)
+            at = t[1]
+        assert got == want, page
