@@ -7,8 +7,9 @@ signs, second-person words and lexicon words near them, capitals, exclamation ma
 
 Labels are read only for rows whose crc32(id as text) mod 3 is not ``HELD_OUT``, and of those at most ``MOST_LABELLED``,
 the first in the order of a hash of the id. Training is cross-fitted in ``FOLDS`` folds: a row's features come from a
-lexicon that has not seen it, and the isotonic map is fitted to scores of trees that have not seen them. Only counts of
-candidate words (at most ``MOST_ENTRIES``) and feature vectors of labelled rows reach the driver. Scoring is one narrow
+lexicon that has not seen it, and the isotonic map is fitted to scores of trees that have not seen them. The labelled rows are
+picked in one pass and written; only counts of words that stand out in them and their feature vectors reach the driver, which the
+number of labelled rows bounds. Words of any length count. Scoring is one narrow
 pass over all rows; id, language, source and labels are no inputs of a score.
 
 Defined results: null text is empty and scored as such; a null id is the text "" for the remainder; repeated rows each
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.common import table
+from furlong.llm.common import table, written
 
-HELD_OUT, MOST_LABELLED, MOST_ENTRIES, FOLDS = 1, 20_000, 4_000, 4
+HELD_OUT, MOST_LABELLED, FOLDS = 1, 20_000, 4
+#: An entry needs so many toxic rows, and log odds that stay above this after a standard error.
+LEAST_ROWS, LEAST_ODDS = 3, 1.8
 PREFIXES = (4, 5, 6)
 TREES, DEPTH, RATE, BINS, RIDGE = 80, 3, 0.15, 32, 1.0
 CUT = 0.7
@@ -60,9 +63,11 @@ class Lexicon(dict):
         self.weights = weights
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        code = self[token] = self.code(token)
+        code = self.code(token)
+        if len(token) <= 64:  # longer ones hardly come again
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = code
         return code
 
     def code(self, token: str) -> int:
@@ -73,11 +78,14 @@ class Lexicon(dict):
             kind, w = 1, v
         elif core and (found := [v for k in PREFIXES if len(core) > k and (v := get(core[:k] + "*")) is not None]):
             kind, w = 2, max(found)
-        if core and not core.isalpha() and not core.isdigit() and len(token) <= 64:
-            plain = "".join(c for c in token.translate(_LOOKS) if c.isalpha())
+        if core and not core.isalpha() and not core.isdigit():
             mixed = int(any(c.isalpha() for c in core) and "-" not in core and "'" not in core)
-            if not kind and len(plain) > 3 and (v := get(plain)) is not None:
-                kind, w = 3, v
+            # a sign at the end may stand for a letter or for itself
+            for form in (token, core) if not kind else ():
+                plain = "".join(c for c in form.translate(_LOOKS) if c.isalpha())
+                if len(plain) > 3 and (v := get(plain)) is not None:
+                    kind, w = 3, v
+                    break
         return min(255, int(w * 16)) << 5 | mixed << 4 | (core in SECOND) << 3 | kind
 
 
@@ -202,7 +210,7 @@ def _weights(counts: list[tuple[str, np.ndarray]], total: np.ndarray, without: i
         n0, n1 = c[use].sum(0)
         w = math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))
         # what stands out by chance in few rows does not count: a standard error below must still be far above none
-        if n1 >= 3 and w - math.sqrt(1 / n1 + 1 / (n0 + 0.5)) > 1.8:
+        if n1 >= LEAST_ROWS and w - math.sqrt(1 / n1 + 1 / (n0 + 0.5)) > LEAST_ODDS:
             out[key] = w
     return out
 
@@ -225,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # at most `most` rows of three integers: small enough to broadcast at any size of the input
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("y", "fold", "text")
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("y", "fold", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0] * (2 * FOLDS))
@@ -239,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for y, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 cell = 2 * fold + (y > 0)
                 seen[""][cell] += 1
-                cores = {c for t in set((text or "").lower().split()) if 1 < len(c := t.strip(_STRIP)) <= 24}
+                cores = {c for t in set((text or "").lower().split()) if len(c := t.strip(_STRIP)) > 1}
                 for key in {k for c in cores for k in keys_of(c)}:
                     seen[key][cell] += 1
                 if len(seen) > 200_000:
@@ -248,8 +256,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     cells = [f"n{i}" for i in range(2 * FOLDS)]
     counts = rows.mapInArrow(count, "key string, " + ", ".join(f"{c} long" for c in cells)).groupBy("key").agg(*[F.sum(c).alias(c) for c in cells])
-    toxic, clean = (sum(F.col(cells[i]) for i in range(s, 2 * FOLDS, 2)) for s in (1, 0))
-    kept = counts.where((F.col("key") == "") | ((toxic >= 3) & (toxic > clean))).orderBy((F.col("key") != "").cast("int"), (toxic - clean).desc(), "key").limit(MOST_ENTRIES).collect()
+    # every lexicon below leaves out one fold or none: what stands out in none of these counts is no entry of any
+    per = counts.where(F.col("key") == "").select(*[F.col(c).alias(f"t{c}") for c in cells])
+    keep = F.col("key") == ""
+    for without in (None, *range(FOLDS)):
+        own = [f for f in range(FOLDS) if f != without]
+        n0, n1 = (sum(F.col(cells[2 * f + kind]) for f in own) for kind in (0, 1))
+        t0, t1 = (sum(F.col(f"t{cells[2 * f + kind]}") for f in own) for kind in (0, 1))
+        odds = F.log((n1 + 0.5) / (t1 + 1)) - F.log((n0 + 0.5) / (t0 + 1))
+        keep = keep | ((n1 >= LEAST_ROWS) & (odds - F.sqrt(1 / F.greatest(n1, F.lit(1)) + 1 / (n0 + 0.5)) > LEAST_ODDS - 1e-6))
+    kept = counts.crossJoin(F.broadcast(per)).where(keep).orderBy("key").collect()  # one row of totals
     both = [(r.key, np.array([r[c] for c in cells]).reshape(FOLDS, 2)) for r in kept]
     total = next((c for k, c in both if k == ""), np.zeros((FOLDS, 2), np.int64))
     both = [(k, c) for k, c in both if k]
