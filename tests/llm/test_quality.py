@@ -94,3 +94,42 @@ def test_junk_of_other_kinds(spark):
         own = [got[first + len(kept) + 5 * k + i] for i in range(5)]
         assert not any(r.base_failed for r in own), kind
         assert not any(r.kept for r in own), kind
+
+
+def test_verdict_by_brute_force(spark):
+    """Every path walked node by node in plain Python: the same rows are kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    forest, most = Q.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    words = WordHash()
+    for r in Q.judge(docs, (forest, most)).collect():
+        base, stats = Q.statistics(r.text, words)
+        x = forest.scale(np.array([stats]))[0].tolist()
+        total = 0.0
+        for f, v, child, path in forest.trees:
+            k = 0
+            while f[k] >= 0:
+                k = int(child[k]) + (x[f[k]] > v[k])
+            total += path[k]
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        score = 2.0 ** (-total / len(forest.trees) / forest.c)
+        assert abs(score - r.quality_rules.score) < 1e-9 and r.quality_rules.kept == (not failed and score <= most), r.doc_id
+
+
+def test_verdict_is_no_set_of_limits(spark):
+    """Rows inside the range of the kept rows in every statistic are rejected, and each statistic has a part in the scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    forest, most = Q.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    words = WordHash()
+    x = np.array([s for r in docs.collect() for b, s in [Q.statistics(r.text, words)] if not Q.base_failed(b[0], b[4])])
+    score = forest.score(x)
+    kept = x[score <= most]
+    rng = np.random.default_rng(7)
+    mixed = np.stack([rng.choice(kept[:, j], 3000) for j in range(kept.shape[1])], axis=1)
+    extreme = np.where(rng.random(mixed.shape) < 0.5, np.where(rng.random(mixed.shape) < 0.5, kept.min(0), kept.max(0)), mixed)
+    assert (forest.score(extreme) > most).any()
+    for j in range(x.shape[1]):
+        for new in (rng.permutation(x[:, j]), x[:, j].max() + 5 + x[:, j]):
+            other = x.copy()
+            other[:, j] = new
+            if np.abs(new - x[:, j]).max():
+                assert np.abs(forest.score(other) - score).max() > 1e-3, Q.STATS[j]
