@@ -53,7 +53,7 @@ def test_no_cap_on_words():
 
 def test_long_words_and_many_entries_reach_the_lexicon(spark):
     long = "z" * 60
-    docs = [(i, f"{long} plain" if i % 2 else "plain words") for i in range(0, 120)]
+    docs = [(i, f"{long} plain" if i % 2 else "plain words") for i in range(600)]
     toxic = [(1000 + i, " ".join(f"bad{i % 2}x{j}" for j in range(3000))) for i in range(160)]
     d = spark.createDataFrame(docs + toxic, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 1000 or i % 2)) for i, _ in docs + toxic], "doc_id long, toxic int")
