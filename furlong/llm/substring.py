@@ -1,14 +1,20 @@
-"""Substring dedup: repeated windows of ``WINDOW`` words, by compaction of a De Bruijn graph of token k-mers.
+"""Substring dedup: repeated windows of ``WINDOW`` words, by runs of windows around token k-mers.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. A word goes if a window of ``WINDOW`` words that covers it
 also starts earlier (smaller id, or same document and earlier start); windows are judged on the input.
 
-Method. Edges of the graph are token k-mers (``KMER`` words), of which each window carries one: its minimizer, the k-mer of the
-smallest hash. A maximal run of windows with one minimizer is a nonbranching path of the document, compacted where it is made: one
-row instead of a row a window, keyed by (k-mer, hash of where the run lies around it and of all its words). Joins on the k-mer then compact
-over documents. A k-mer met once has no repeated window and goes at once. Of equal runs the first by (id, start) stays, and the
-windows of the others repeat as a whole. If a k-mer has different runs, the path branches there: the first run of each kind is read
-at its source coordinates, and its windows are verified one by one against those of the other kinds.
+Method. The dealt one is the compaction of a De Bruijn graph: every token k-mer an edge, degrees of its nodes, nonbranching paths grown
+by joins. It was measured and is not affordable here (the README has the figures: 25 times the input is shuffled where 4 are allowed), so
+minimizers, by which such graphs are partitioned, stand in for its edges, and runs for its paths. Each window carries one k-mer
+(``KMER`` words), its minimizer; a maximal run of windows of a document with one minimizer is one row, keyed by (k-mer, hash of where
+the run lies around it and of all its words). Joins on the k-mer compact over documents. A k-mer met once has no repeated window
+and goes at once. Of equal runs the first by (id, start) stays, and the windows of the others repeat as a whole. If a k-mer has
+different runs, the text branches there: the first run of each kind is read at its source coordinates, and its windows are
+verified one by one against those of the other kinds.
+
+The minimizer is the rarest k-mer of its window, by counts of hashed k-mers over all documents (a table of a fixed size), and of equally
+rare ones that of the smallest hash. So a phrase that very many documents have in different surroundings is the key of few
+windows, and no key holds a share of all rows. The counts decide what goes where, not what is found.
 
 Equal windows have the same minimizer, so nothing is lost; hashes that are compared have 128 bits together (k-mer and run, k-mer and
 window). Shuffled: one row for about 7 words, and the texts once, for both uses. Equal runs of one chunk of texts are combined before the
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from furlong.llm.common import Keyed, WordHash, chunks, combined, id_key, id_of, mix, span, table, unused, written
 
 WINDOW, KMER = 20, 6
+#: Bits of the hash that counts of k-mers go by.
+COUNT_BITS = 16
 _U = np.uint64
 _BASE, _SEED = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -51,8 +59,31 @@ class Hashed:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * _SEED)
 
 
-def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For the joined word hashes of several texts: (k-mer hash, text, start, windows, hash of the run) of each run."""
+def _counts(slim: DataFrame) -> np.ndarray:
+    """The size class (binary logarithm) of how often k-mers of the documents fall on each value of ``COUNT_BITS`` bits of their hash."""
+    mask = (1 << COUNT_BITS) - 1
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = WordHash(), np.zeros(mask + 1, np.int64)
+        for batch in batches:
+            for _, raw in chunks(x.as_py() for x in batch.column(0)):
+                # k-mers across two texts only blur the counts
+                h = words.of(b" ".join(raw).split())
+                if len(h) >= KMER:
+                    at = np.arange(len(h) - KMER + 1)
+                    total += np.bincount((Hashed(h).of(at, at + KMER) & _U(mask)).astype(np.int64), minlength=mask + 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(mask + 1, np.int64)
+    for r in slim.select("_t").mapInArrow(go, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return np.log2(out + 1).astype(np.uint64)
+
+
+def runs(h: np.ndarray, lengths: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For the joined word hashes of several texts: (k-mer hash, text, start, windows, hash of the run) of each run. ``classes`` has the
+    size class of k-mers by the lowest bits of their hash."""
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64))
     if len(h) < WINDOW:
         return none
@@ -65,7 +96,8 @@ def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(windows):
         return none
     span = WINDOW - KMER + 1
-    least = windows + np.lib.stride_tricks.sliding_window_view(kmer, span)[windows].argmin(1)
+    order = kmer if classes is None else (classes[(kmer & _U(len(classes) - 1)).astype(np.int64)] << _U(58)) | (kmer >> _U(6))
+    least = windows + np.lib.stride_tricks.sliding_window_view(order, span)[windows].argmin(1)
     new = np.ones(len(windows), bool)
     new[1:] = (least[1:] != least[:-1]) | (windows[1:] != windows[:-1] + 1)
     first = np.flatnonzero(new)
@@ -77,18 +109,20 @@ def runs(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return kmer[pos], text[start], start - begin[text[start]], count, run
 
 
-def _runs(docs: DataFrame) -> DataFrame:
+def _runs(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """(_k, _h, kmer, start, n, run, done) of each text, from (_t, _k, _h); done: an equal run of the same chunk comes first."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
+        words, own = WordHash(), sent.value
         for batch in batches:
             k, h = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, raw in chunks(x.as_py() for x in batch.column(0)):
                 split = [r.split() for r in raw]
                 lengths = np.array([len(s) for s in split])
                 flat = np.concatenate([words.of(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
-                kmer, text, start, n, run = runs(flat, lengths)
+                kmer, text, start, n, run = runs(flat, lengths, own)
                 text = text + first
                 order, done, kmer = combined(kmer.view(np.int64), run, k[text], start)
                 text, start, n, run = (x[order] for x in (text, start, n, run))
@@ -137,7 +171,7 @@ def repeated_spans(slim: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, spans): the word spans (not merged) that repeat what comes earlier, from (_t, _k, _h)."""
     # one exchange by k-mer serves all windows below: the finer ones need no other
     whole, equal = Window.partitionBy("kmer", "done"), Window.partitionBy("kmer", "done", "run")
-    met = _runs(slim).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("done or c > 1")
+    met = _runs(slim, _counts(slim)).repartition("kmer").withColumns({"c": F.count("*").over(whole), "low": F.min("run").over(whole), "high": F.max("run").over(whole)}).where("done or c > 1")
     met = met.withColumn("first", F.min(F.struct("_k", "start")).over(equal))
     later, branches = F.col("done") | (F.struct("_k", "start") > F.col("first")), ~F.col("done") & (F.col("low") != F.col("high"))
     found = written(met.where(later | branches).select(*keys, "start", "n", later.alias("later"), F.when(~later, F.col("kmer")).alias("kmer")))

@@ -24,3 +24,14 @@ def test_brute(spark):
     want = sorted((d if d is not None else -1, *b) for (d, _), b in zip(docs, S.brute(docs), strict=True))
     assert got == want
     assert S.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_a_common_phrase_is_no_hot_key(spark):
+    """A phrase of every document, in different surroundings, is the key of hardly a row, whatever its hash is."""
+    rng = random.Random(2)
+    for phrase in ("p q r s t u", "in the name of the law", "1 2 3 4 5 6"):
+        word = lambda: f"w{rng.randrange(10**9)}"
+        docs = [(i, " ".join([word() for _ in range(30)] + [phrase] + [word() for _ in range(30)])) for i in range(3000)]
+        slim = spark.createDataFrame(docs, "_k long, _t string").selectExpr("_t", "_k", "0L as _h")
+        rows = S._runs(slim, S._counts(slim))
+        assert rows.groupBy("kmer").count().agg({"count": "max"}).first()[0] < 30
