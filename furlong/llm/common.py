@@ -29,12 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_key(name: str = "doc_id") -> Column:
-    """A whole-number id as a key that is never null. An id that is no whole number fails, named: these operators order rows by it."""
+def id_key(name: str = "doc_id", docs: DataFrame | None = None) -> Column:
+    """A whole-number id as a key that is never null. An id that is no whole number fails, named: these operators order rows by it.
+
+    With ``docs`` whose id is a whole number by its type nothing is checked.
+    """
     c = F.col(f"`{name}`")
-    key = c.try_cast("long")
-    checked = F.when(c.isNotNull() & key.isNull(), F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c.cast("string"))).cast("long")).otherwise(key)
-    return F.coalesce(checked, F.lit(NULL_ID).cast("long"))
+    key = c.cast("long")
+    if docs is None or docs.schema[name].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        key = c.try_cast("long")
+        key = F.when(c.isNotNull() & key.isNull(), F.raise_error(F.concat(F.lit(f"{name}: not a whole number: "), c.cast("string"))).cast("long")).otherwise(key)
+    return F.coalesce(key, F.lit(NULL_ID).cast("long"))
 
 
 def id_of(key: str | Column) -> Column:
@@ -158,19 +163,22 @@ class Keyed:
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        self.k, self.h = unused(docs.columns, "_k", "_h")
-        key, text = id_key(id_col), F.col(f"`{text_col}`")
+        self.columns, self.text_col = docs.columns, text_col
+        self.t, self.k, self.h = unused(docs.columns, "_t", "_k", "_h")
+        key, text = id_key(id_col, docs), F.col(f"`{text_col}`")
         twice = not docs.groupBy(key.alias("_k")).count().where("count > 1").isEmpty()
         hashed = F.xxhash64(text) if twice else F.lit(0).cast("long")
-        self.docs = docs.withColumns({self.k: key, self.h: hashed})
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        self.docs = docs.select(*others, text.alias(self.t), key.alias(self.k), hashed.alias(self.h))
         self.keys = ["_k", "_h"] if twice else ["_k"]
         self.slim = docs.select(text.alias("_t"), key.alias("_k"), hashed.alias("_h"))
 
-    def with_spans(self, spans: DataFrame, name: str) -> DataFrame:
-        """The documents with the spans of their keys in a column ``name``."""
+    def with_spans(self, spans: DataFrame, name: str, same: dict | None = None) -> DataFrame:
+        """The documents with the spans of their keys in a last column ``name``; ``same`` has columns that come back from the key."""
         own = {"_k": self.k, "_h": self.h}
         named = spans.select(*[F.col(c).alias(own[c]) for c in self.keys], F.col("spans").alias(name))
-        return self.docs.join(named, [own[c] for c in self.keys], "left")
+        both = self.docs.join(named, [own[c] for c in self.keys], "left").withColumns(same or {})
+        return both.select(*[F.col(self.t).alias(c) if c == self.text_col else F.col(f"`{c}`") for c in self.columns], name)
 
 
 def span(start: Column, n: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Keyed, combined, id_key, id_of, span, table, unused
+from furlong.llm.common import Keyed, combined, span, table, unused
 
 WINDOW = 3
 _BLANK = " \t\r\f\x0b"
@@ -88,8 +88,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines of repeated windows gone from ``text_col``; ``removed_col`` gets their number."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != (removed_col or "").lower()])
     keyed = Keyed(docs, id_col, text_col)
-    name = unused([*docs.columns, keyed.k, keyed.h], "_spans")[0]
-    both = keyed.with_spans(repeated_lines(keyed.slim, keyed.keys, size), name).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    name = unused(keyed.docs.columns, "_spans")[0]
+    both = keyed.with_spans(repeated_lines(keyed.slim, keyed.keys, size), name)
     where, names = docs.columns.index(text_col), [*docs.columns, *([removed_col] if removed_col else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a text of which every line went is empty: it has no line
     left = F.when(F.col("text").isNull() | ((F.col("text") == "") & (F.col("n_removed") > 0)), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
     return out.select(
-        id_of(id_key()).alias("doc_id"), (left + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+        F.col("doc_id").cast("long").alias("doc_id"), (left + F.col("n_removed")).cast("long").alias("n_lines"), "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 

@@ -116,7 +116,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     names=["_k", "_x", "n", "sig", "roots", "sketch"],
                 )
 
-    return docs.select(id_key(id_col).alias("_k"), F.col(f"`{text_col}`").alias("_t"), F.xxhash64(f"`{text_col}`").alias("_x")).mapInArrow(run, "_k long, _x long, n long, sig binary, roots array<long>, sketch binary")
+    return docs.select(id_key(id_col, docs).alias("_k"), F.col(f"`{text_col}`").alias("_t"), F.xxhash64(f"`{text_col}`").alias("_x")).mapInArrow(run, "_k long, _x long, n long, sig binary, roots array<long>, sketch binary")
 
 
 def _node(kind: str, *cols) -> Column:
@@ -401,7 +401,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the texts that any group may need meet their signatures once
     needed = of.select("sig") if stuck is None else of.select("sig").unionByName(stuck.select("sig")).distinct()
     wanted = needed.join(sets.select("sig", F.col("label").alias("_k"), "sketch"), "sig")
-    texts = docs.select(id_key(id_col).alias("_k"), F.col(f"`{text_col}`").alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
+    texts = docs.select(id_key(id_col, docs).alias("_k"), F.col(f"`{text_col}`").alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
     if stuck is None:
         linked = components(_confirmed(members.join(texts, "sig"), k))
         drop_written(*kept)
@@ -433,7 +433,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each group: the rows of its smallest id stay. Columns of any name stay as they are."""
     key, hashed = unused(docs.columns, "_k", "_x")
     gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, k).where(F.col("_k") != F.col("component")).select(F.col("_k").alias(key), F.col("_x").alias(hashed)).distinct()
-    return docs.join(gone, (id_key(id_col) == F.col(key)) & (F.xxhash64(f"`{text_col}`") == F.col(hashed)), "left_anti")
+    return docs.join(gone, (id_key(id_col, docs) == F.col(key)) & (F.xxhash64(f"`{text_col}`") == F.col(hashed)), "left_anti")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

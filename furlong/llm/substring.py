@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from furlong.llm.common import Keyed, WordHash, chunks, combined, id_key, id_of, mix, span, table, unused, written
+from furlong.llm.common import Keyed, WordHash, chunks, combined, id_of, mix, span, table, unused, written
 
 WINDOW, KMER = 20, 6
 #: Bits of the hash that counts of k-mers go by.
@@ -193,8 +193,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans = repeated_spans(keyed.slim, keyed.keys)
     # an id of this type comes back from its key, so the exchange of ids and texts is the one that the sources used
     same = {id_col: id_of(keyed.k)} if docs.schema[id_col].dataType.typeName() == "long" else {}
-    name = unused([*docs.columns, keyed.k, keyed.h], "_spans")[0]
-    both = keyed.with_spans(spans, name).withColumns(same).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    name = unused(keyed.docs.columns, "_spans")[0]
+    both = keyed.with_spans(spans, name, same)
     where, out_names = docs.columns.index(text_col), [*docs.columns, *names]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def cut(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[str, int, int
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and the digest of what stays, of every document."""
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(id_of(id_key()).alias("doc_id"), "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
 def brute(docs: list[tuple[int | None, str | None]]) -> list[tuple[int, int, str]]:
