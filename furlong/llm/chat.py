@@ -10,9 +10,9 @@ lengths give cumulative offsets, the offsets give scatter indices, and numpy cop
 and contents into one preallocated buffer, which becomes the Arrow column without a further copy.
 The loss mask is the byte range of each assistant text inside its turn.
 
-A conversation's turns are dealt by its id and sorted (outside memory if need be) by turn, then
-streamed: a conversation may span any number of batches, and readers hold one batch and the
-digests so far, however long it is.
+Formatting is narrow. Only who needs whole conversations deals their turns by id and sorts them (outside memory if
+need be) by turn, before or after; they are then streamed: a conversation may span any number of batches,
+and readers hold one batch and the digests so far, however long it is. Digests of one conversation are one task, as they are sequential.
 
 Defined results: null text and null role are empty; a null conversation id is a conversation, before
 all others; turns sort nulls first, and equal turns by role, then text; no conversation has no rows.
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.common import id_key, id_of, table
+from furlong.llm.common import id_key, id_of, table, unused
 
 START, END = b"<|im_start|>", b"<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -106,25 +106,35 @@ def _cut(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(_k, formatted, loss_from, loss_to) in conversation order inside each partition.
+def in_order(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The rows with each conversation whole in one partition, and its turns in order there."""
+    same = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (role_col, text_col)]
+    key = unused(rows.columns, "_key")[0]
+    return rows.withColumn(key, id_key(conv_col, rows)).repartition(key).sortWithinPartitions(key, f"`{turn_col}`", *same).drop(key)
+
+
+def formatted(rows: DataFrame, conv_col: str = "conv_id", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(_k, formatted, loss_from, loss_to) of each turn, in the order in which the rows are; narrow, so a hot conversation costs nothing.
 
     ``formatted`` is the turn's bytes, [loss_from, loss_to) the byte range under the loss mask (empty but
-    for assistant turns). The concatenation of a conversation's turns is its formatted text.
+    for assistant turns). The concatenation of a conversation's turns is its formatted text; see :func:`in_order`.
     """
-    dealt = rows.select(
-        id_key(conv_col).alias("_k"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
-    ).repartition("_k").sortWithinPartitions("_k", "_turn", "_role", "_text")
+    role, text = (F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (role_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _cut(whole, 3):
-                formatted, a, b = assemble(batch.column(2), batch.column(3))
-                masked = pc.equal(batch.column(2), LOSS_ROLE).to_numpy(zero_copy_only=False)
+            for batch in _cut(whole, 2):
+                turns, a, b = assemble(batch.column(1), batch.column(2))
+                masked = pc.equal(batch.column(1), LOSS_ROLE).to_numpy(zero_copy_only=False)
                 a, b = np.where(masked, a, 0), np.where(masked, b, 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), formatted.cast(pa.binary()), pa.array(a), pa.array(b)], names=["_k", "formatted", "loss_from", "loss_to"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), turns.cast(pa.binary()), pa.array(a), pa.array(b)], names=["_k", "formatted", "loss_from", "loss_to"])
 
-    return dealt.select("_k", "_turn", "_role", "_text").mapInArrow(run, "_k long, formatted binary, loss_from long, loss_to long")
+    return rows.select(id_key(conv_col, rows).alias("_k"), role.alias("_role"), text.alias("_text")).mapInArrow(run, "_k long, formatted binary, loss_from long, loss_to long")
+
+
+def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """:func:`formatted` turns, each conversation whole in one partition and in order."""
+    return formatted(in_order(rows, conv_col, turn_col, role_col, text_col), conv_col, role_col, text_col)
 
 
 def digests(turns: DataFrame) -> DataFrame:
