@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--core-dir")
     for name, text in (("integrate", "both sources to one corpus"), ("status", "what has been scraped")):
         sub.add_parser(name, help=text).add_argument("--standard-dir", default=STANDARD)
+    f = sub.add_parser("features", help="the feature tables")
+    f.add_argument("--standard-dir", default=STANDARD)
+    f.add_argument("--feature-dir", default="data/feature")
     v = sub.add_parser("validate", help="check the tables")
     v.add_argument("--raw-dir", required=True)
     v.add_argument("--standard-dir", default=STANDARD)
@@ -91,6 +94,10 @@ def main(argv: list[str] | None = None) -> int:
         from furlong.plans.integrate import integrate_standard_layer
 
         print(json.dumps(integrate_standard_layer(spark, a.standard_dir), indent=2))
+    elif a.command == "features":
+        from furlong.plans.features import write
+
+        print(json.dumps(write(spark, a.standard_dir, a.feature_dir), indent=2))
     elif a.command == "validate":
         from furlong.quality.validate import run_all
 

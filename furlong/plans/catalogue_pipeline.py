@@ -21,6 +21,7 @@ from furlong.operators import relational as O
 from furlong.plans import convert as C
 from furlong.plans import integrate as G
 from furlong.plans.catalogue import QUERIES, SQL, _auc_sql, _scored, query, r6, t
+from furlong.quality import checks as Q
 from furlong.quality import validate as V
 from furlong.session import ensure_checkpoint_dir
 from furlong.sources import pages as L
@@ -371,12 +372,11 @@ def fold_frames(spark, d):
     return out
 
 
-@query("SELECT o_orderkey AS race_id, CAST(o_orderdate AS DATE) < '1999-06-01' AS early FROM orders")
-def sorted_windows(spark, d):
-    """Sortedness is a property of a window here: no row of the order comes before an earlier day's."""
-    late = F.lag("race_date").over(Window.partitionBy(F.substring("race_date", 1, 4)).orderBy("race_date", "race_id")) > F.col("race_date")
-    df = _features(spark, d).withColumn("late", F.coalesce(late, F.lit(False)))
-    return df.where("not late").select("race_id", (F.col("race_date") < "1999-06-01").alias("early"))
+@query("""WITH x AS (SELECT l_orderkey, l_shipdate < lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS late FROM lineitem)
+SELECT l_orderkey, count(*) FILTER (late) AS violations FROM x GROUP BY 1 HAVING violations > 0""")
+def sortedness(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    return Q.out_of_order(li, "l_shipdate", ["l_linenumber", "l_partkey", "l_extendedprice"], ["l_orderkey"])
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS race_id, o_orderkey % 100 < 10 AS late FROM orders")

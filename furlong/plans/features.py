@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furlong import schemas as S
 from furlong.functions import parsing as P
 from furlong.functions import racing as R
 from furlong.operators import windows as W
+from furlong.quality.checks import leakage
+from furlong.sources.tables import exists, swap
+
+log = logging.getLogger(__name__)
 
 # The feature contract, in order.
 RACE = ["race_id", "race_date", "course_name", "distance", "surface", "direction", "weather", "track_condition", "race_number", "grade", "field_size"]
@@ -48,6 +55,33 @@ def generate(race: DataFrame, entry: DataFrame, result: DataFrame) -> tuple[Data
         "target_top3": flag(place <= 3).cast("long"),
     })
     df = W.debut("horse_entity_key", order, valid)(df).withColumns({c: P.trim_u(c) for c in TEXT})
-    if lost := [c for c in FEATURES if c not in df.columns]:
-        raise ValueError(f"features are missing: {lost}")
+    require_features(df.columns)
     return df.select(*FEATURES, *KEYS, *TARGETS), df.select(*FEATURES, *KEYS)
+
+
+def require_features(columns: list[str]) -> list[str]:
+    """Every feature must be there; columns that look like features and are none are named, returned and left out."""
+    if lost := [c for c in FEATURES if c not in columns]:
+        raise ValueError(f"features are missing: {lost}")
+    known = {*FEATURES, *KEYS, *TARGETS}
+    if more := [c for c in columns if c.startswith(("prev_", "prev3_", "prev5_", "jockey_rolling_", "trainer_rolling_")) and c not in known]:
+        log.warning("features outside of the contract, left out: %s", more)
+    return more
+
+
+def write(spark: SparkSession, standard_dir: str, feature_dir: str, train: str = "features_train", pred: str = "features_pred") -> dict[str, str]:
+    """The features of the standard layer as two tables, swapped in together; returns their paths and the late columns that they hold.
+
+    A missing table is an error. The rows that both tables share are computed once: predictions are read back from what was written for training.
+    """
+    paths = {t: f"{standard_dir}/{t}.parquet" for t in S.CORE}
+    if lost := [p for p in paths.values() if not exists(spark, p)]:
+        raise FileNotFoundError(f"missing tables: {lost}")
+    rows, _ = generate(*(spark.read.parquet(paths[t]) for t in S.CORE))
+    out = {n: f"{feature_dir}/{n}.parquet" for n in (train, pred)}
+    rows.write.mode("overwrite").parquet(f"{out[train]}.staged")
+    spark.read.parquet(f"{out[train]}.staged").select(*FEATURES, *KEYS).write.mode("overwrite").parquet(f"{out[pred]}.staged")
+    if late := leakage(rows, S.TABLES["race"], S.TABLES["entry"]):
+        log.warning("features hold columns that are known after the event only: %s", late)
+    swap(spark, [(f"{p}.staged", p) for p in out.values()])
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +50,15 @@ def functional_dependency(df: DataFrame, key: str, value: str) -> DataFrame:
     return per.agg(F.max("n").alias("most"), F.count_if(F.col("n") > 1).alias("violations"))
 
 
+def out_of_order(df: DataFrame, by: str, order: list[str], within: list[str]) -> DataFrame:
+    """(*within, violations): rows whose ``by`` is smaller than that of the row before them in the ``order``, where there are any.
+
+    Rows have no order of their own, so one must be named; ``within`` keeps the check from being a single task.
+    """
+    before = F.lag(by).over(Window.partitionBy(*within).orderBy(*order))
+    return df.withColumn("_late", before > F.col(by)).groupBy(*within).agg(F.count_if("_late").alias("violations")).where("violations > 0")
+
+
 def post_event_columns(schema: StructType) -> list[str]:
     """Columns whose metadata says that they are known after the event only."""
     return [f.name for f in schema.fields if f.metadata.get("pre_race") is False]

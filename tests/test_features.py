@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from furlong.plans import features as G
 
 
@@ -40,3 +42,17 @@ def test_contract_and_prefix(spark):
     keep = lambda df: df.where(df.race_id.isin(early))
     part = {(r.race_id, r.horse_number): r for r in G.generate(keep(race), keep(entry), keep(result))[0].collect()}
     assert part and all(rows[k] == r for k, r in part.items())
+
+
+def test_written_features(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        G.write(spark, f"{tmp_path}/std", f"{tmp_path}/f")
+    for name, df in zip(("race", "entry", "result"), tables(spark), strict=True):
+        df.write.parquet(f"{tmp_path}/std/{name}.parquet")
+    for _ in range(2):
+        out = G.write(spark, f"{tmp_path}/std", f"{tmp_path}/f")
+    train, pred = (spark.read.parquet(p) for p in out.values())
+    assert train.columns == G.FEATURES + G.KEYS + G.TARGETS and pred.columns == G.FEATURES + G.KEYS and train.count() == pred.count() == 27
+    assert G.require_features([*G.FEATURES, "prev_9_x", "weather2"]) == ["prev_9_x"]
+    with pytest.raises(ValueError, match="is_debut"):
+        G.require_features(G.FEATURES[:-1])
