@@ -4,7 +4,7 @@ Words are runs of bytes other than \\x20 and \\x09-\\x0D, unchanged. A word goes
 also starts earlier (smaller id, or same document and earlier start); windows are judged on the input.
 
 Method. The dealt one is the compaction of a De Bruijn graph: every token k-mer an edge, degrees of its nodes, nonbranching paths grown
-by joins. It was measured and is not affordable here (the README has the figures: 25 times the input is shuffled where 4 are allowed), so
+by joins. It was measured and is not affordable here (the README has the figures: 26 times the input is shuffled where 4 are allowed), so
 minimizers, by which such graphs are partitioned, stand in for its edges, and runs for its paths. Each window carries one k-mer
 (``KMER`` words), its minimizer; a maximal run of windows of a document with one minimizer is one row, keyed by (k-mer, hash of where
 the run lies around it and of all its words). Joins on the k-mer compact over documents. A k-mer met once has no repeated window
