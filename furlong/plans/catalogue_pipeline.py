@@ -162,8 +162,8 @@ def page_race(spark, d):
     return out.select(*cols, F.col("race_flag_maiden").cast("int").alias("maiden"), F.col("race_flag_graded_stakes").cast("int").alias("graded_stakes"))
 
 
-@query(_BASE + """SELECT runner AS horse_race_id, race AS race_id, n % 8 + 1 AS bracket_num, CAST(n AS BIGINT) AS horse_number, '馬&' || s AS horse_name, CASE WHEN s % 2 = 0 THEN '牡' ELSE '牝' END AS sex,
-  n + 2 AS age, q AS weight_assigned, '師' || s AS trainer, CASE WHEN s % 3 = 0 THEN '東' END AS region, CASE WHEN s % 4 <> 0 THEN floor(q) + 400 END AS horse_weight, CASE WHEN s % 4 <> 0 THEN -2.0::DOUBLE END AS weight_change FROM b""")
+@query(_BASE + """SELECT runner AS horse_race_id, race AS race_id, CAST(n % 8 + 1 AS BIGINT) AS bracket_num, CAST(n AS BIGINT) AS horse_number, '馬&' || s AS horse_name, CASE WHEN s % 2 = 0 THEN '牡' ELSE '牝' END AS sex,
+  CAST(n + 2 AS BIGINT) AS age, q AS weight_assigned, '師' || s AS trainer, CASE WHEN s % 3 = 0 THEN '東' END AS region, CASE WHEN s % 4 <> 0 THEN floor(q) + 400 END AS horse_weight, CASE WHEN s % 4 <> 0 THEN -2.0::DOUBLE END AS weight_change FROM b""")
 def page_entry(spark, d):
     return RP.tables(_pages(spark, d))["entry"].select("horse_race_id", "race_id", "bracket_num", "horse_number", "horse_name", "sex", "age", "weight_assigned", "trainer", "region", "horse_weight", "weight_change")
 
@@ -372,6 +372,12 @@ def fold_frames(spark, d):
     return out
 
 
+@query("SELECT o_orderkey, CAST(chunk - 1 AS VARCHAR) AS fold, TRUE AS probable FROM orders JOIN (" + SQL["date_block_folds"] + ") f ON f.day = CAST(o_orderdate AS DATE) WHERE chunk > 0")
+def gbt_oof_rows(spark, d):
+    """The rows that the production job scores, by fold, and that every score is a probability."""
+    return QUERIES["gbt_oof"](spark, d).select("o_orderkey", "fold", F.coalesce(F.col("p_raw").between(0, 1), F.lit(False)).alias("probable"))
+
+
 @query("""WITH x AS (SELECT l_orderkey, l_shipdate < lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS late FROM lineitem)
 SELECT l_orderkey, count(*) FILTER (late) AS violations FROM x GROUP BY 1 HAVING violations > 0""")
 def sortedness(spark, d):
