@@ -215,21 +215,26 @@ def _standard(spark, d) -> dict[str, DataFrame]:
     }
 
 
-def _stored(spark, d, twice: bool = False) -> str:
-    """The folder of parsed tables in months; with ``twice`` some races come again under another name."""
-    root = f"{ensure_checkpoint_dir(spark)}/months-{uuid.uuid4().hex}"
-    tables = _standard(spark, d)
-    G.normalise(tables, root)
-    if twice:
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, d) -> str:
+    """The folder of parsed tables in months, where some races came again under another name; stored once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ROOTS or not TB.exists(spark, _ROOTS[key]):
+        root = f"{ensure_checkpoint_dir(spark)}/months-{uuid.uuid4().hex}"
+        tables = _standard(spark, d)
+        G.normalise(tables, root)
         again = {n: df.where(F.col("race_id").cast("long") % 10 == 0) for n, df in tables.items()}
         G.normalise(again | {"race": again["race"].withColumn("race_name", F.lit("new"))}, root)
-    return root
+        _ROOTS[key] = root
+    return _ROOTS[key]
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS race_id, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS race_name, strftime(o_orderdate, '%Y%m') AS month FROM orders WHERE o_orderkey % 11 <> 0")
 def months_upsert(spark, d):
     path = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{6})/race\.parquet/", 1)
-    return TB.read_months(spark, _stored(spark, d, True), S.CORE)["race"].select("race_id", "race_name", path.alias("month"))
+    return TB.read_months(spark, _stored(spark, d), S.CORE)["race"].select("race_id", "race_name", path.alias("month"))
 
 
 @query(_BASE.rsplit(", k AS", 1)[0] + " SELECT runner AS horse_race_id, q AS last_3f, strftime(day, '%Y%m') AS month FROM b WHERE o % 11 <> 0")
