@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from furlong.ml import metrics as M
 from furlong.ml import run as R
+from furlong.ml.models import final_fit
 from furlong.sources.tables import get_text
 
 
@@ -50,8 +51,9 @@ def test_run(spark, tmp_path):
     metrics = json.loads(get_text(spark, out["metrics"]))
     assert metrics["auc_raw"] > 0.75 and 0 <= metrics["ece_calibrated"] < 0.2 and metrics["oof_rows"] == oof.count() and metrics["baseline_n_rows"] == held.count() * 5 // 6
     assert "| AUC |" in get_text(spark, out["report"]) and get_text(spark, out["diagram"]).startswith("<svg")
-    again = R.run_train(spark, own, {"train_rows": train["metadata"]["train_rows"]})
-    assert get_text(spark, again["model"]) == get_text(spark, out["model"])
+    again, _ = final_fit(train["train"], ["strength", "course_name"], "target_top3", "race_id", "race_date", 30, 5, params=R.params_of(own))
+    assert again.to_json() == get_text(spark, out["model"])
+    assert R.load_features(spark, f"{tmp_path}/features.parquet", ("2020-01-01", "2020-07-01"), ("2020-07-02", "2020-12-31"), None, {"train_rows": train["metadata"]["train_rows"]})["metadata"]["key_overlap"] is None
 
 
 def test_contracts(spark, tmp_path):
