@@ -41,7 +41,6 @@ def test_clashing_names(spark):
         assert rows, name
         assert all(r[c] == f"own {c}" for r in rows for c in CLASHING), name
         assert [c for c in out.columns if c in df.columns] == df.columns, name
-        assert op(df.limit(0)).count() == 0, name
 
 
 @pytest.mark.parametrize("kind", ["int", "string"])
