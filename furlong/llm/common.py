@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 #: Bytes of text that one vectorised step of a Python worker takes at most, beyond a single document.
 CHUNK_BYTES = 2_000_000
+#: Bits that a wanted row has in a sieve; and shards of 512 bytes that a sieve has at most (32 MB).
+SIEVE, SIEVE_SHARDS = 16, 1 << 16
 _U = np.uint64
 _written: list[tuple[SparkSession, str]] = []
 
@@ -98,6 +101,47 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends; otherwise they stay until the driver's JVM happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` may be in the one column of ``wanted``: all that are, and about one in 100 of the others.
+
+    A join that follows shuffles little more than it keeps. Two bits of SIEVE or more are set for each wanted row, and broadcast
+    in shards of 4096; of more wanted rows than SIEVE_SHARDS has room for, more of the others pass, and no wanted one is lost.
+    """
+    shards = 1
+    least = min(wanted.count() * SIEVE // 4096, SIEVE_SHARDS)
+    while shards < least:
+        shards *= 2
+
+    def place(c: Column) -> tuple[Column, Column, Column]:
+        h = F.xxhash64(c)
+        return F.pmod(h, F.lit(shards)), F.shiftrightunsigned(h, 52).cast("int"), F.shiftrightunsigned(h, 40).cast("int").bitwiseAND(4095)
+
+    shard, *bits = place(F.col(f"`{wanted.columns[0]}`"))
+    placed = wanted.select(shard.alias("shard"), F.explode(F.array(*bits)).alias("bit"))
+    words = placed.groupBy("shard", F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("b"))
+    shard_words = words.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    word = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))
+    sieve = shard_words.select(F.col("shard").alias("_shard"), F.transform(F.sequence(F.lit(0), F.lit(63)), word).alias("_words"))
+    shard, *bits = place(key)
+    is_set = [F.getbit(F.get("_words", F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1 for bit in bits]
+    return rows.join(F.broadcast(sieve), (shard == F.col("_shard")) & is_set[0] & is_set[1], "left_semi")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -23,7 +23,7 @@ only edges that connect more than before come out, so no task and no table holds
 ``GROUP_SHINGLES`` shingles at most beyond its longest document. Components are found by star steps.
 
 Shuffled: 24 bytes a document and tree; sketches of documents in branches of two or more; texts of the documents
-(once, to meet their candidates).
+that have candidates (once to meet their signatures, once a group), and of few others (see ``sieved``).
 
 Defined results: texts without words (or null) have no shingles, are linked with nothing, and are their own component;
 equal ids are told apart by their sets; null ids sort before others, a component whose smallest id is null is null; an id that is no
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.common import NULL_ID, WordHash, drop_written, id_key, id_of, mix, table, unused, written
+from furlong.llm.common import NULL_ID, WordHash, drop_written, id_key, id_of, mix, shuffles_dropped, sieved, table, unused, written
 from furlong.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -193,14 +193,22 @@ def _rare(pool: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
+        done = None
         for batch in batches:
             for i in range(batch.num_rows):
-                own = shingles(batch.column(1)[i].as_py(), k, words).view(np.int64)
+                sig = batch.column(0)[i].as_py()
+                if sig == done:
+                    continue
+                own = shingles(batch.column(1)[i].as_py(), k, words)
+                if signature(own) != sig:  # another text of the same id
+                    continue
+                done, own = sig, own.view(np.int64)
                 for at in range(0, len(own), 100_000):
                     part = own[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(part), pa.binary()), pa.array(part)], names=["sig", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array([sig] * len(part), pa.binary()), pa.array(part)], names=["sig", "token"])
 
-    tokens = written(pool.select("sig").join(texts, "sig").select("sig", "_t").mapInArrow(run, "sig binary, token long").distinct())
+    own_texts = pool.select("sig").join(sieved(texts, F.col("sig"), pool.select("sig")), "sig").select("sig", "_t")
+    tokens = written(own_texts.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig binary, token long"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = tokens.join(shared, "token").groupBy("sig").agg(F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("m", "token"))).alias("own"))
     # of the n tokens the n - s of one document come first in the order; what is left of the prefix are the rarest shared ones
@@ -313,8 +321,8 @@ def _both(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         mark[own] = False
 
 
-def link(members: list[tuple[bytes, np.ndarray, np.ndarray]], percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
-    """Edges that connect what is linked among (sig, sketch, set), by the sizes of the intersections of the full sets.
+def link(members: list[tuple[bytes, np.ndarray]], percent: int = PERCENT) -> list[tuple[bytes, bytes]]:
+    """Edges that connect what is linked among (sig, set), by the sizes of the intersections of the full sets.
 
     Two sets that are near copies of a third are usually connected through it, so sets are first compared with the largest group's first one.
     """
@@ -322,7 +330,7 @@ def link(members: list[tuple[bytes, np.ndarray, np.ndarray]], percent: int = PER
     union, edges = _Union(n), []
     if n < 2:
         return edges
-    sets = [s for _, _, s in members]
+    sets = [s for _, s in members]
     size = np.array([len(s) for s in sets])
     # near copies of the first set and of each following one that is left connect at once
     left = np.arange(n)
@@ -353,7 +361,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _confirmed(groups: DataFrame, k: int) -> DataFrame:
-    """(a, b): confirmed edges, from (group, sig, sketch, text)."""
+    """(a, b): confirmed edges, from (g, sig, _t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -372,19 +380,30 @@ def _confirmed(groups: DataFrame, k: int) -> DataFrame:
                     group, members, seen = g, [], set()
                 if sig in seen:
                     continue
-                own = shingles(batch.column(3)[i].as_py(), k, words)
+                own = shingles(batch.column(2)[i].as_py(), k, words)
                 if signature(own) == sig:
                     seen.add(sig)
-                    members.append((sig, np.frombuffer(batch.column(2)[i].as_py(), np.uint8), own))
+                    members.append((sig, own))
             yield flush()
         edges += link(members) if len(members) > 1 else []
         yield flush()
 
-    return groups.select("g", "sig", "sketch", "_t").repartition("g").sortWithinPartitions("g", "sig").mapInArrow(run, "a binary, b binary")
+    return groups.select("g", "sig", "_t").repartition("g").sortWithinPartitions("g", "sig").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """(_k, _x, n_shingles, sig, component): a row for each row of ``docs``; component is an id key (see ``id_of``), _x a hash of the text."""
+    with shuffles_dropped(docs.sparkSession):
+        rows, sets, linked = _linked(docs, id_col, text_col, k)
+    own = linked.join(sets.select(F.col("sig").alias("node"), "label"), "node")
+    least = own.groupBy("root").agg(F.min("label").alias("component"))
+    label = own.join(least, "root").select(F.col("node").alias("sig"), "component")
+    final = sets.select("sig", "label").join(label, "sig", "left").select("sig", F.coalesce("component", "label").alias("component"))
+    return rows.select("_k", "_x", F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select("_k", "_x", "n_shingles", "sig", F.coalesce("component", "_k").alias("component"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (_k, _x, n, sig), the sets (sig, label), and (node, root) of the signatures that are linked."""
     rows = written(_sketches(docs, id_col, text_col, k))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal sets have equal sketches
     sets = written(rows.where("n > 0").groupBy("sig").agg(F.min("_k").alias("label"), first("n"), first("roots"), first("sketch")))
@@ -398,16 +417,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = sized.groupBy("root").agg((F.count("*") <= GROUP).alias("few"), (F.sum("n") <= GROUP_SHINGLES).alias("short")).select("root", (F.col("few") & F.col("short")).alias("fits"))
     of = written(of.join(group, "root").select(F.col("node").alias("sig"), F.col("root").alias("g"), "fits"))
     members = of.where("fits").select("g", "sig").unionByName(parts.select(F.col("part").alias("g"), "sig").join(of.where(~F.col("fits")).select("sig"), "sig").select("g", "sig"))
-    # the texts that any group may need meet their signatures once
+    # the texts that any group may need meet their signatures and groups once; no other text is shuffled
     needed = of.select("sig") if stuck is None else of.select("sig").unionByName(stuck.select("sig")).distinct()
-    wanted = needed.join(sets.select("sig", F.col("label").alias("_k"), "sketch"), "sig")
-    texts = docs.select(id_key(id_col, docs).alias("_k"), F.col(f"`{text_col}`").alias("_t")).join(wanted, "_k").select("sig", "sketch", "_t")
+    met = needed.join(members.groupBy("sig").agg(F.collect_list("g").alias("gs")), "sig", "left")
+    wanted = written(met.join(sets.select("sig", F.col("label").alias("_k")), "sig").select("sig", "_k", "gs"))
+    keyed = docs.select(id_key(id_col, docs).alias("_k"), F.col(f"`{text_col}`").alias("_t"))
+    texts = sieved(keyed, F.col("_k"), wanted.select("_k")).join(wanted, "_k").select("sig", "gs", "_t")
+    grouped = lambda t: t.select(F.explode("gs").alias("g"), "sig", "_t")
     if stuck is None:
-        linked = components(_confirmed(members.join(texts, "sig"), k))
+        linked = components(_confirmed(grouped(texts), k))
         drop_written(*kept)
     else:
         texts = written(texts)
-        edges = written(_confirmed(members.join(texts, "sig"), k))
+        edges = written(_confirmed(grouped(texts), k))
         so_far = components(edges).select(F.col("node").alias("sig"), "root")
         left = written(stuck.select("node", "sig", "n").join(so_far, "sig", "left").select("node", "sig", "n", F.coalesce("root", "sig").alias("root")))
         drop_written(*kept)
@@ -420,13 +442,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rare = written(_rare(pool, texts, k))
             again = again.unionByName(_rest(rare, _per_node(rare)))
         again = again.join(sketched, "sig").select("node", "sig", "n", "sketch", F.xxhash64("root").alias("r"))
-        more = written(_candidates(again)).select(F.col("part").alias("g"), "sig")
-        linked = components(edges.unionByName(written(_confirmed(more.join(texts, "sig"), k))))
-    own = linked.join(sets.select(F.col("sig").alias("node"), "label"), "node")
-    least = own.groupBy("root").agg(F.min("label").alias("component"))
-    label = own.join(least, "root").select(F.col("node").alias("sig"), "component")
-    final = sets.select("sig", "label").join(label, "sig", "left").select("sig", F.coalesce("component", "label").alias("component"))
-    return rows.select("_k", "_x", F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select("_k", "_x", "n_shingles", "sig", F.coalesce("component", "_k").alias("component"))
+        more = written(_candidates(again).select(F.col("part").alias("g"), "sig"))
+        linked = components(edges.unionByName(written(_confirmed(more.join(sieved(texts.select("sig", "_t"), F.col("sig"), more.select("sig")), "sig"), k))))
+        drop_written(texts)
+    return rows, sets, linked
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:

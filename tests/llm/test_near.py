@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from furlong.llm import common as C
 from furlong.llm import near as N
 from furlong.llm.common import WordHash, id_of
 from furlong.llm.graph import components
@@ -127,3 +129,40 @@ def test_recall_near_the_threshold(spark):
         docs += [(2 * d, " ".join(base[:90])), (2 * d + 1, " ".join(base[10:]))]
     got = {r._k: r.component for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=1).collect()}
     assert all(got[2 * d + 1] == 2 * d for d in range(400))
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    """Two copies among texts of their own: only theirs, and a few that pass the sieve, meet their signatures."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(400)) for _ in range(1500)]
+    texts[7] = texts[900] + " more"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    jvm = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        spark.range(10).count()
+        jvm.listenerBus().waitUntilEmpty()
+        found = jvm.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    # each join exchanges its rows, as on large tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = {r._k: r.component for r in N.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {k for k, c in got.items() if k != c} == {900} and got[900] == 7
+    assert shuffled() - before < sum(map(len, texts)) / 2
+
+
+def test_sieve(spark, monkeypatch):
+    """No wanted row is lost, and few others pass; also where the sieve is far too small, and where nothing is wanted."""
+    rows = spark.range(20_000).select("id", F.col("id").cast("string").cast("binary").alias("b"))
+    for shards, most in ((1 << 16, 400), (1, 20_000)):
+        monkeypatch.setattr(C, "SIEVE_SHARDS", shards)
+        for key in ("id", "b"):
+            wanted = rows.where("id % 7 = 3").select(F.col(key).alias("w"))
+            got = {r.id for r in C.sieved(rows, F.col(key), wanted).collect()}
+            assert set(range(3, 20_000, 7)) <= got and len(got) <= 2857 + most
+    assert C.sieved(rows, F.col("id"), rows.where("id < 0").select("id")).count() == 0
